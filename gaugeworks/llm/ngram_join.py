@@ -192,20 +192,23 @@ def jaccard_classes(
     classes = work.cut(classes, "classes")
 
     chosen = classes.select("th", F.col("set_hi").alias("node"))
-    tokens = (
-        sets.select("th", "n", "prefix").where("n > 0").join(chosen, "th").dropDuplicates(["th"])
-        .select(F.col("node").alias("doc"), "n", F.explode("prefix").alias("tok"))
-    )
-    often = tokens.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    # Tokens of one row only are most of them and go first; equal sets still count several times
+    # there. What is left is made distinct per set and counted again.
+    tokens = sets.where("n > 0").select(F.col("set_hi").alias("doc"), "n", F.explode("prefix").alias("tok"))
+    again = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tok")
+    left = work.cut(tokens.join(again, "tok").distinct(), "left")
+    often = left.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     k = F.expr(f"1 + greatest(1, int((n - (n * {threshold} + 99) div 100) div 4))")
     shared = (
-        tokens.join(often, "tok")
+        left.join(often, "tok")
         .groupBy("doc", "n")
         .agg(F.collect_list(F.struct("tok", "df")).alias("t"))
         .where(F.size("t") >= k)
         .select("doc", "n", F.col("t.tok").alias("tok"), F.col("t.df").alias("df"))
     )
     shared = work.cut(shared, "shared")
+    ids = work.cut(sets.select("doc_id", "n", "set_hi"), "ids")
+    work.drop("sets", "left")
     index = work.cut(shared.mapInArrow(_index_keys(threshold, rare), "key long, doc long, n int"), "index")
     pivots = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("pivot")).where("m > 1")
     keyed = work.cut(index.join(pivots.select("key", "pivot"), "key"), "keyed")
@@ -251,7 +254,7 @@ def jaccard_classes(
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select(F.col("node").alias("set_hi"), "component_id")
     members = (
-        sets.select("doc_id", "n", "set_hi")
+        ids
         .join(named, "set_hi", "left")
         .select(
             "doc_id",
@@ -261,5 +264,5 @@ def jaccard_classes(
         )
     )
     members = work.cut(members, "members")
-    work.drop("sets", "classes", "shared", "index", "keyed", "texts", "open", "comp")
+    work.drop("ids", "classes", "shared", "index", "keyed", "texts", "open", "comp")
     return members, links

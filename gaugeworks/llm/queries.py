@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gaugeworks.llm.multiset_hash import document_fingerprints
 from gaugeworks.llm.ngram_join import jaccard_classes
+from gaugeworks.llm.quality_qda import quality_scores
+from gaugeworks.llm.shards import sharded
 from gaugeworks.llm.workspace import table
 
 
@@ -13,7 +17,25 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharded(spark, table(spark, sf_dir, "documents"))
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_sharding": op7_sharding,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+}
 
 SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": r"""
