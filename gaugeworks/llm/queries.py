@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.chat import formatted, read_back
 from gaugeworks.llm.multiset_hash import document_fingerprints
 from gaugeworks.llm.ngram_join import jaccard_classes
 from gaugeworks.llm.quality_qda import quality_scores
 from gaugeworks.llm.shards import sharded
-from gaugeworks.llm.workspace import table
+from gaugeworks.llm.warc import page_records, write_warc
+from gaugeworks.llm.workspace import Workspace, table
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +32,55 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "warc").path("archives")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_records(spark, path)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return read_back(formatted(given.union(own)))
+
+
 QUERIES = {
+    "op5_warc": op5_warc,
+    "op10_chat_formatting": op10_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
+_HARD = "\\### Assistant: </turn> ok"
 SQL: dict[str, str] = {
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT h, first, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + CAST((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> CAST(5 * (7 - i % 8) AS BIGINT)) & 31 AS INTEGER), 1)), '') AS b
+      FROM m)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, b AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN d USING (h)
+""",
+    "op10_chat_formatting": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_HARD}'), (-7, 1, 'assistant', '{_HARD}')),
+f AS (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN 5 + length(role) + 1
+          ELSE length('### Other: </role>') + length(role) END + length('</turn>') + 1
+        + length(text) + len(regexp_extract_all(text, '### (System|User|Assistant|Other): |</role>|</turn>')) AS chars,
+        CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role)) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
