@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.chat import formatted, read_back
+from gaugeworks.llm.line_dedup import dedup_lines
 from gaugeworks.llm.multiset_hash import document_fingerprints
 from gaugeworks.llm.ngram_join import jaccard_classes
 from gaugeworks.llm.quality_qda import quality_scores
@@ -19,6 +20,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "text")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_warc": op5_warc,
     "op10_chat_formatting": op10_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
