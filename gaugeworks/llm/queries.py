@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.chat import formatted, read_back
+from gaugeworks.llm.decontaminate import leaks
 from gaugeworks.llm.line_dedup import dedup_lines
 from gaugeworks.llm.multiset_hash import document_fingerprints
 from gaugeworks.llm.ngram_join import jaccard_classes
@@ -43,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(spark, path)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -53,6 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_warc": op5_warc,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_sharding": op7_sharding,

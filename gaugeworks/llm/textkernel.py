@@ -96,11 +96,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
+#: Everything in ASCII that is neither a letter nor a digit.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, off: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
     """Word spans: bytes lower-cased on A-Z, start, end, and each row's first word index."""
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = off[1:-1][off[1:-1] < len(data)]
