@@ -13,10 +13,9 @@ A document is the set of its distinct word shingles. Two documents link when
   G < K groups by hash, two of them meet in one group, and each pair of frequent shingles in a
   group is indexed as a combination. G is a power of two fixed by the size, and a set also
   indexes the next smaller G when a partner of its size range could use that.
-* Candidates meet on an index key. First every set is verified against the pivot it shares most
-  keys with; then, with the components found so far, every key that still holds several
-  components gives its remaining pairs, unless their distances to the pivot rule them out
-  (Jaccard distance obeys the triangle inequality). Verification counts whole sets.
+* Candidates meet on an index key. In a few rounds every set is verified against the pivot it
+  shares most keys with; then every key that still holds several components gives all its
+  remaining pairs across them. Verification counts whole sets.
 
 Defined results: null or blank text has no shingles (n_shingles 0) and links to nothing;
 fewer words than the width make one shingle; repeated rows come back as often as they came, with
@@ -38,6 +37,8 @@ from gaugeworks.llm.textkernel import mix64, shingle_sets
 from gaugeworks.llm.workspace import Workspace, components
 
 RARE = 16
+#: Rounds of one pivot per index key before the remaining pairs are listed.
+ROUNDS = 4
 
 
 def misses(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -171,7 +172,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def jaccard_classes(
-    spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 75, rare: int = RARE
+    spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 75, rare: int = RARE, rounds: int = ROUNDS
 ) -> tuple[DataFrame, DataFrame]:
     """Membership and links of the join.
 
@@ -210,44 +211,56 @@ def jaccard_classes(
     ids = work.cut(sets.select("doc_id", "n", "set_hi"), "ids")
     work.drop("sets", "left")
     index = work.cut(shared.mapInArrow(_index_keys(threshold, rare), "key long, doc long, n int"), "index")
-    pivots = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("pivot")).where("m > 1")
-    keyed = work.cut(index.join(pivots.select("key", "pivot"), "key"), "keyed")
+    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    keyed = work.cut(index.join(met, "key"), "keyed")
 
     wanted = keyed.select(F.col("doc").alias("node")).distinct().join(chosen, "node")
     texts = base.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("node", "text")
     texts = work.cut(texts, "texts", "lz4")
-    votes = keyed.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("v"))
-    best = votes.groupBy("doc").agg(F.max_by("pivot", F.struct("v", "pivot")).alias("b"))
-    first = work.cut(verified(best.select(F.col("doc").alias("a"), "b"), texts, width), "first")
     linked = F.expr(f"100 * shared >= {threshold} * united")
 
-    # A label that two sets share proves them connected: follow verified links twice to smaller pivots.
-    hop = first.where(linked).select(F.col("a").alias("doc"), F.col("b").alias("l1"))
-    label = hop.join(hop.select(F.col("doc").alias("l1"), F.col("l1").alias("l2")), "l1", "left")
-    label = label.select("doc", F.coalesce("l2", "l1").alias("comp"))
-    away = first.select(F.col("a").alias("doc"), F.col("b").alias("near"), (1 - F.col("shared") / F.col("united")).alias("away"))
-    facts = away.join(label, "doc", "left")
-    placed = keyed.join(facts, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    spread = placed.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("comp"))).alias("home")
-    )
-    spread = spread.where("lo < hi").select("key", "home")
-    open_keys = work.cut(placed.join(spread, "key"), "open")
-    one = open_keys.where("comp <> home").select("key", "home", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "near", "away")])
-    two = open_keys.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp", "near", "away")])
-    reach = (100 - threshold) / 100 + 1e-9
-    apart = (F.col("near_a") == F.col("near_b")) & (F.abs(F.col("away_a") - F.col("away_b")) > reach)
-    known = (F.coalesce("near_a", F.lit(0)) == F.col("doc_b")) | (F.coalesce("near_b", F.lit(0)) == F.col("doc_a"))
+    # Rounds: in every key that still holds several components one set, another one each round, is
+    # the pivot; every set outside its component is verified against the pivot it meets most.
+    open_keys, tried, links, comp = keyed.withColumn("comp", F.col("doc")), None, None, None
+    for turn in range(rounds):
+        spread = open_keys.groupBy("key").agg(
+            F.min("comp").alias("lo"),
+            F.max("comp").alias("hi"),
+            F.max_by(F.struct("doc", "comp", "n"), F.xxhash64("doc", F.lit(turn))).alias("p"),
+        )
+        spread = spread.where("lo < hi").select("key", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("home"), F.col("p.n").alias("pn"))
+        votes = (
+            open_keys.join(spread, "key")
+            .where(f"comp <> home and 100 * least(n, pn) >= {threshold} * greatest(n, pn)")
+            .groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("v"))
+        )
+        if tried is not None:
+            votes = votes.join(tried, F.expr("least(doc, pivot) = a and greatest(doc, pivot) = b"), "left_anti")
+        best = votes.groupBy("doc").agg(F.max_by("pivot", F.struct("v", "pivot")).alias("pivot"))
+        pairs = best.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        got = work.cut(verified(pairs, texts, width), f"tried-{turn}")
+        tried = got.select("a", "b") if tried is None else tried.union(got.select("a", "b"))
+        links = got.where(linked) if links is None else links.union(got.where(linked))
+        comp = work.cut(components(work, links, f"cc{turn}"), f"comp-{turn}").withColumnRenamed("node", "doc")
+        placed = keyed.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        still = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        open_keys = work.cut(placed.join(still.select("key"), "key"), f"open-{turn}")
+
+    # What the rounds left: all pairs of different components that share a key.
+    sizes = open_keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    home = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("home"))
+    one = open_keys.join(home, "key").where("comp <> home").select("key", "home", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp")])
+    two = open_keys.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "comp")])
     rest = (
         one.join(two, "key")
         .where("comp_a <> comp_b and (comp_b = home or doc_a < doc_b)")
         .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-        .where(~F.coalesce(apart, F.lit(False)) & ~known)
         .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
         .distinct()
+        .join(tried, ["a", "b"], "left_anti")
     )
-    second = work.cut(verified(rest, texts, width), "second")
-    links = first.where(linked).union(second.where(linked))
+    last = work.cut(verified(rest, texts, width), "last")
+    links = links.union(last.where(linked))
     comp = work.cut(components(work, links, "cc"), "comp")
     named = classes.select(F.col("set_hi").alias("node"), "rep").join(comp, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
@@ -264,5 +277,5 @@ def jaccard_classes(
         )
     )
     members = work.cut(members, "members")
-    work.drop("ids", "classes", "shared", "index", "keyed", "texts", "open", "comp")
+    work.drop("ids", "classes", "shared", "index", "keyed", "texts", "comp")
     return members, links
