@@ -176,8 +176,8 @@ def jaccard_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Membership and links of the join.
 
-    membership: one row (doc_id, n_shingles, set_id, component_id) per input row, set_id naming the
-    class of equal sets; links: (a, b, shared, united), verified links between set ids that
+    membership: one row (doc_id, n_shingles, text_hash, set_id, class_id, component_id) per input row;
+    set_id names the class of equal sets and class_id the component (null: no shingles); links: (a, b, shared, united), verified links between set ids that
     connect the components (pairs inside a component that is already known are not listed).
     """
     work = Workspace(spark, "ngram-join")
@@ -208,7 +208,7 @@ def jaccard_classes(
         .select("doc", "n", F.col("t.tok").alias("tok"), F.col("t.df").alias("df"))
     )
     shared = work.cut(shared, "shared")
-    ids = work.cut(sets.select("doc_id", "n", "set_hi"), "ids")
+    ids = work.cut(sets.select("doc_id", "th", "n", "set_hi"), "ids")
     work.drop("sets", "left")
     index = work.cut(shared.mapInArrow(_index_keys(threshold, rare), "key long, doc long, n int"), "index")
     met = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
@@ -265,17 +265,39 @@ def jaccard_classes(
     named = classes.select(F.col("set_hi").alias("node"), "rep").join(comp, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("node").alias("set_hi"), "component_id")
+    named = named.join(least, "comp").select(F.col("node").alias("set_hi"), "comp", "component_id")
     members = (
         ids
         .join(named, "set_hi", "left")
         .select(
             "doc_id",
             F.col("n").cast("long").alias("n_shingles"),
+            F.col("th").alias("text_hash"),
             F.when(F.col("n") > 0, F.col("set_hi")).alias("set_id"),
+            F.when(F.col("n") > 0, F.col("comp")).alias("class_id"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )
     )
     members = work.cut(members, "members")
     work.drop("ids", "classes", "shared", "index", "keyed", "texts", "comp")
     return members, links
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
+    """docs with one document of each component: that with the smallest id (null last), then text hash.
+
+    Documents without words are near nothing and stay; of repeated rows of a kept document one stays.
+    """
+    members, _ = jaccard_classes(spark, docs, width, threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s")
+    chosen = members.where("class_id is not null").groupBy("class_id").agg(first)
+    chosen = chosen.select(F.coalesce("s.doc_id", F.lit(-(2**63))).alias("k"), F.col("s.text_hash").alias("th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"),
+        F.xxhash64(text).alias("th"),
+        text.rlike(r"[^\x20\x09-\x0D]").alias("worded"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    kept = rows.where("worded").join(chosen, ["k", "th"]).dropDuplicates(["k", "th"])
+    return kept.select("row.*").union(rows.where("not worded").select("row.*"))

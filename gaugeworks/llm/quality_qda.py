@@ -212,11 +212,34 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def learnt(spark: SparkSession, docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None) -> Model:
+    """Model of the labels (doc_id, quality) of documents that are not held out."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out())
+    if stats is None:
+        few = marked.where("label in (0, 1)").select("doc_id").distinct()
+        stats = document_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id"))
+    return fit(stats, marked)
+
+
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs that score `least` or more, all their columns as they are; documents do not travel."""
+    model = learnt(spark, docs, labels)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                keep = model.score(statistics(part.column(1))) >= least
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep))], names=["row"])
+
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+
+
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, learnt from labels (doc_id, quality)."""
     work = Workspace(spark, "quality-qda")
     stats = work.cut(document_statistics(docs), "stats")
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    model = fit(stats, marked.where(~held_out()))
+    model = learnt(spark, docs, labels, stats)
     out = scored(stats, model).withColumn("held_out", held_out())
     return out.select("doc_id", "held_out", "score", F.expr("int(score >= 0.5)").alias("predicted"))

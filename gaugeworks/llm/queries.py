@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.chat import formatted, read_back
 from gaugeworks.llm.decontaminate import leaks
+from gaugeworks.llm.html_wrapper import main_text
 from gaugeworks.llm.line_dedup import dedup_lines
 from gaugeworks.llm.multiset_hash import document_fingerprints
 from gaugeworks.llm.ngram_join import jaccard_classes
 from gaugeworks.llm.quality_qda import quality_scores
+from gaugeworks.llm.sentencepiece_viterbi import decoded, encoded
 from gaugeworks.llm.shards import sharded
 from gaugeworks.llm.warc import page_records, write_warc
 from gaugeworks.llm.workspace import Workspace, table
@@ -25,6 +27,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "text")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n_tokens", "ids", F.expr("coalesce(text, '') = decoded").alias("round_trip"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,17 +69,28 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
-    "op5_warc": op5_warc,
-    "op9_benchmark_decontamination": op9_benchmark_decontamination,
-    "op10_chat_formatting": op10_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc": op5_warc,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_document_fingerprints": op8_document_fingerprints,
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 _HARD = "\\### Assistant: </turn> ok"
 SQL: dict[str, str] = {
+    # Pages mark their article; SQL takes it from there, without the adverts and forms that none has inside.
+    "op2_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '</?(p|h[1-6]|br|ul|ol|li|div)[^>]*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, url, html_text AS t FROM (SELECT page_id, url,
+    replace(replace(replace(replace(regexp_replace(h, '</?[a-z][^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS html_text FROM b)),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+""",
     "op5_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
