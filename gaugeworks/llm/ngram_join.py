@@ -144,19 +144,22 @@ def _overlaps(width: int):
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                ha, oa = shingle_sets(part.column(2), width)
-                hb, ob = shingle_sets(part.column(3), width)
-                inter = np.array(
-                    [
-                        len(np.intersect1d(ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]], assume_unique=True))
-                        for i in range(part.num_rows)
-                    ],
-                    np.int64,
-                )
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                # Rows come sorted by b: a text that several pairs name is taken apart once.
+                nodes = np.concatenate([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                _, at, place = np.unique(nodes, return_index=True, return_inverse=True)
+                h, off = shingle_sets(pa.chunked_array([part.column(2), part.column(3)]).take(pa.array(at)), width)
+                n = np.diff(off)
+                a, b = place[: part.num_rows], place[part.num_rows :]
+                inter = np.zeros(part.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(a, b)):
+                    x, y = (x, y) if n[x] <= n[y] else (y, x)
+                    small, large = h[off[x] : off[x + 1]], h[off[y] : off[y + 1]]
+                    if len(small):
+                        inter[i] = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(inter), pa.array(np.diff(oa) + np.diff(ob) - inter)],
+                    [part.column(0), part.column(1), pa.array(inter), pa.array(n[a] + n[b] - inter)],
                     names=["a", "b", "shared", "united"],
                 )
 
@@ -213,6 +216,7 @@ def jaccard_classes(
     index = work.cut(shared.mapInArrow(_index_keys(threshold, rare), "key long, doc long, n int"), "index")
     met = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     keyed = work.cut(index.join(met, "key"), "keyed")
+    work.drop("shared", "index")
 
     wanted = keyed.select(F.col("doc").alias("node")).distinct().join(chosen, "node")
     texts = base.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("node", "text")
@@ -245,6 +249,7 @@ def jaccard_classes(
         placed = keyed.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         still = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         open_keys = work.cut(placed.join(still.select("key"), "key"), f"open-{turn}")
+        work.drop(f"open-{turn - 1}", f"comp-{turn}", f"cc{turn}")
 
     # What the rounds left: all pairs of different components that share a key.
     sizes = open_keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -279,7 +284,7 @@ def jaccard_classes(
         )
     )
     members = work.cut(members, "members")
-    work.drop("ids", "classes", "shared", "index", "keyed", "texts", "comp")
+    work.drop("ids", "classes", "keyed", "texts", "comp")
     return members, links
 
 
