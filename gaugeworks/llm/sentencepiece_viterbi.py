@@ -21,6 +21,7 @@ result column is replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 300_000
 
 
+_ONE = (1,)
+
+
 class Pieces:
     """Vocabulary of a model file, with blanks in place of the mark."""
 
@@ -60,80 +64,100 @@ class Pieces:
                 text = piece.replace("▁", " ")
                 self.ids[text], self.score[text] = k, model.get_score(k)
                 self.bytes.append(text.encode())
-        self.longest = max(map(len, self.ids))
         self.unknown = min(self.score.values()) - 10.0
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.start = len(self.bytes)
+        ends: dict[str, set[int]] = {}
+        for text in self.ids:
+            ends.setdefault(text[-2:], {1}).add(len(text))
+        #: Sizes of the pieces that end in two characters, the largest first.
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+        self.follows: dict[int | tuple, bool] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: always the pair with the best score, the leftmost of equals."""
         parts = list(text)
         while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.score.get(parts[k] + parts[k + 1], -np.inf), -k))
-            if parts[best] + parts[best + 1] not in self.score:
+            best, top = -1, -np.inf
+            for k in range(len(parts) - 1):
+                score = self.score.get(parts[k] + parts[k + 1], -np.inf)
+                if score > top:
+                    best, top = k, score
+            if best < 0:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
     def may_follow(self, left: str, right: str) -> bool:
-        got = self.follows.get((left, right))
-        if got is None:
-            if len(self.follows) > REMEMBERED:
-                self.follows.clear()
-            both = self.merged(left + right)
-            got = self.follows[left, right] = both == ([left, right] if left else [right])
-        return got
-
-    def encode_sorted(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of sorted distinct words, walking their trie depth first."""
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        """Ids (as int32 bytes) of sorted distinct words, walking their trie depth first."""
         out, before = [], ""
-        last, total = [""], [0.0]  # by prefix length: the piece that ends there, the score so far
+        # By prefix length: the id and size of the piece that ends there (-1: a character without one), the score so far.
+        last, size, total = [self.start], [0], [0.0]
+        advance = self._merged_states if self.merges else self._best_states
         for word in words:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                piece, score = self._arc(word, i, last, total)
-                last.append(piece)
-                total.append(score)
+            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
+            advance(word, shared + 1, last, size, total)
             path, i = [], len(word)
             while i:
                 path.append(last[i])
-                i -= len(last[i])
-            out.append(self._numbered(path[::-1]))
+                if last[i] < 0:
+                    path[-1:] = [self.byte[b] for b in reversed(word[i - 1].encode())]
+                i -= size[i]
+            path.reverse()
+            out.append(array("i", path).tobytes())
             before = word
         return out
 
-    def _arc(self, word: str, i: int, last: list[str], total: list[float]) -> tuple[str, float]:
-        """The piece that ends the best path to prefix i, and that path's score."""
-        best = None
-        for size in range(min(self.longest, i), 0, -1):
-            piece = word[i - size : i]
-            if size > 1 and piece not in self.ids:
-                continue
-            if self.merges and not self.may_follow(last[i - size], piece):
-                continue
-            score = total[i - size] + self.score.get(piece, self.unknown)
-            if self.merges:
-                return piece, score
-            if best is None or score > best[1]:
-                best = piece, score
-        return best
-
-    def _numbered(self, path: list[str]) -> np.ndarray:
-        ids = []
-        for piece in path:
-            k = self.ids.get(piece)
-            if k is not None:
-                ids.append(k)
-            else:
-                ids.extend(self.byte[b] for b in piece.encode())
-        return np.array(ids, np.int32)
+    def _merged_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float]) -> None:
+        """Forward states of the prefixes from `start` on, in a merge model: the one piece that may end there.
+
+        One character is what remains when no longer piece may follow what is before it.
+        """
+        sizes, ids, follows = self.sizes, self.ids, self.follows
+        for i in range(start, len(word) + 1):
+            for n in sizes.get(word[i - 2 : i] if i > 1 else word[:1], _ONE):
+                j = i - n
+                if n > 1:
+                    if j < 0 or (k := ids.get(word[j:i])) is None:
+                        continue
+                    left = last[j]
+                    pair = left << 20 | k if left >= 0 else (word[j - 1], k)
+                    good = follows.get(pair)
+                    if good is None:
+                        if len(follows) > REMEMBERED:
+                            follows.clear()
+                        good = follows[pair] = self.may_follow(word[j - size[j] : j], word[j:i])
+                    if not good:
+                        continue
+                else:
+                    k = ids.get(word[j], -1)
+                last.append(k)
+                size.append(n)
+                break
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def _best_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float]) -> None:
+        """Forward states of the prefixes from `start` on, in a unigram model: the best sum of scores."""
+        for i in range(start, len(word) + 1):
+            arcs = []
+            for n in self.sizes.get(word[max(i - 2, 0) : i], _ONE):
+                piece = word[max(i - n, 0) : i]
+                k = self.ids.get(piece, -1)
+                if n == 1 or n <= i and k >= 0:
+                    arcs.append((total[i - n] + self.score.get(piece, self.unknown), n, k))
+            score, n, k = max(arcs)
+            last.append(k)
+            size.append(n)
+            total.append(score)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; those that are not remembered are encoded together, sorted."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
@@ -178,9 +202,9 @@ def encode_column(col: pa.Array, vocab: Pieces) -> tuple[np.ndarray, np.ndarray]
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy()
     ids = vocab.encode_words([" " + w for w in coded.dictionary.to_pylist()])
-    size = np.array([len(x) for x in ids], np.int64)
+    size = np.array([len(x) // 4 for x in ids], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    flat = np.frombuffer(b"".join(ids), np.int32)
     each = size[code] if len(code) else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(each)])
     at = np.arange(ends[-1]) - np.repeat(ends[:-1], each) + np.repeat(start[code] if len(code) else each, each)
