@@ -207,7 +207,7 @@ def leaks(
     wanted = None
     if known.count() <= BROADCAST_GRAMS:
         wanted = np.sort(known.toArrow().column(0).to_numpy().view(np.uint64))
-    found = work.cut(keyed.mapInArrow(_stretches(wanted, sorted(widths), longest or 1), _STRETCH), "found")
+    found = work.cut(keyed.mapInArrow(_stretches(wanted, sorted(widths) or [width], longest or 1), _STRETCH), "found")
     hits = found.select("k1", "k2", "at", F.explode("grams").alias("gram"))
     if wanted is None:
         hits = hits.join(known, "gram")
