@@ -217,6 +217,7 @@ def jaccard_classes(
     met = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     keyed = work.cut(index.join(met, "key"), "keyed")
     work.drop("shared", "index")
+    work.release()
 
     wanted = keyed.select(F.col("doc").alias("node")).distinct().join(chosen, "node")
     texts = base.select("th", "text").join(wanted, "th").dropDuplicates(["th"]).select("node", "text")
@@ -250,6 +251,7 @@ def jaccard_classes(
         still = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         open_keys = work.cut(placed.join(still.select("key"), "key"), f"open-{turn}")
         work.drop(f"open-{turn - 1}", f"comp-{turn}", f"cc{turn}")
+        work.release()
 
     # What the rounds left: all pairs of different components that share a key.
     sizes = open_keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))

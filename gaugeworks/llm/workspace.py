@@ -48,7 +48,9 @@ class Workspace:
         for name in names:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-        # Spark deletes the shuffle files of frames that nothing names any more once they are collected.
+
+    def release(self) -> None:
+        """Has Spark delete the shuffle files of frames that nothing names any more."""
         gc.collect()
         self.spark._jvm.System.gc()
 
