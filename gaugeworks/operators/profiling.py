@@ -26,16 +26,23 @@ def _named(row: DataFrame, columns: list[str], kept: tuple[str, ...], facts: tup
 
 
 def column_stats(
-    df: DataFrame, columns: list[str], rows: int | None = None, shape_only: tuple[str, ...] = (), clock: str | None = None, seed: int = 0
+    df: DataFrame,
+    columns: list[str],
+    rows: int | None = None,
+    shape_only: tuple[str, ...] = (),
+    clock: str | None = None,
+    seed: int = 0,
+    sampled: bool = True,
 ) -> DataFrame:
     """One row per column from one aggregate: rows, null_rate, values, few_values, extremes, mean, offset, exact.
 
     Up to EXACT_ROWS rows (`rows`, counted when not given) all of them are read and values are counted
-    exactly; beyond, about SAMPLE_ROWS sampled rows give an estimate and `exact` is false. Extremes are of
+    exactly; beyond, about SAMPLE_ROWS sampled rows give an estimate and `exact` is false. Without `sampled`
+    all rows are read at every size. Extremes are of
     numbers (least, most) and days (first_day, last_day), but for columns in shape_only. offset_days is the
     median distance of a temporal column behind the clock.
     """
-    total = df.count() if rows is None else rows
+    total = (df.count() if rows is None else rows) if sampled else 0
     exact = total <= EXACT_ROWS
     part = df if exact else df.sample(min(1.0, 1.2 * SAMPLE_ROWS / total), seed).limit(SAMPLE_ROWS)
     types = dict(df.dtypes)

@@ -21,7 +21,7 @@ def _stats(c: str, facts: dict[str, str]) -> str:
 
 _add(
     "profile_column_stats",
-    lambda t: profiling.column_stats(t("orders"), ["o_orderstatus", "o_totalprice", "o_orderdate"], clock="o_orderdate"),
+    lambda t: profiling.column_stats(t("orders"), ["o_orderstatus", "o_totalprice", "o_orderdate"], clock="o_orderdate", sampled=False),
     " UNION ALL ".join([_stats("o_orderstatus", {}), _stats("o_totalprice", _NUMBER), _stats("o_orderdate", _DAY)]),
 )
 _add(

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import grading, ledger, profiling
+from gaugeworks.report_queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
@@ -28,6 +31,13 @@ def test_sampled_profile_says_so(spark):
     assert not row["exact"] and 0 < row["rows"] <= profiling.SAMPLE_ROWS
 
 
+def test_registered_profile_reads_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "EXACT_ROWS", 10)
+    got = QUERIES["profile_column_stats"](spark, SF).collect()
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert n > 10 and all(r["exact"] and r["rows"] == n for r in got)
+
+
 def test_shapes(spark):
     df = spark.createDataFrame([("1.5", "2024-01", "[1]", "1,2", None), ("-2", "2024-02-03", "[]", "(3, 4)", "x")], "a string, b string, c string, d string, e string")
     got = {r["column"]: r["shape"] for r in profiling.value_shapes(df, list("abcde")).collect()}
