@@ -1,112 +1,119 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by every repeated run of lines.
 
-Lines are hashed; a rolling hash over the last lines ends a chunk where it falls into one residue
-class, so boundaries depend on nearby content only and an insertion shifts no later chunk. A chunk of
-several lines that occurs more than once in the corpus stays at its first place (smallest id, then
-position) and goes everywhere else, after its bytes were compared with those that stay.
+A run is MIN_LINES or more consecutive lines of one text with MIN_BYTES or more bytes. A line goes if
+it lies in a run that also stands at an earlier place of the corpus (smaller id, then position), however
+long the run is and whatever surrounds it; so each line that goes has an equal line that stays.
 
-The hashes (128 bits a chunk) find what repeats. A Bloom filter of the repeated ones, of at most
-FILTER_BITS bits, lets a second pass over the texts send out the bytes of (nearly) these alone; what
-passes it wrongly finds no partner. A chunk that very many documents share is one key of a plain
-join, which Spark splits. Texts are dealt by document once, to lose their lines.
+To find these lines, only the shortest runs are needed: for each line the shortest run that starts
+there, and the shortest that ends there. Whether a run is one of these depends on its own lines alone,
+each is a run itself, and those inside a longer run cover all of its lines: a line whose shortest run
+forward leaves the longer run is covered by the shortest run that ends with it.
+
+A first pass counts 64-bit hashes of the shortest runs. A Bloom filter of the repeated ones, of at most
+FILTER_BITS bits, lets a second pass over the texts send out a 128-bit BLAKE2b digest of the bytes of
+(nearly) these alone; runs of equal digest are equal, and what passes the filter wrongly finds no
+partner. A run that very many documents share is one key of a plain join, which Spark splits. Texts are
+dealt by document once, to lose their lines.
 
 Defined results: null text stays null, empty text stays empty, a text all of whose lines go becomes
-empty; rows with equal id and text are one document (all stay or lose the same lines); a chunk that
-occurs twice inside one document stays once; a null id counts as the smallest; columns of the input
+empty; a line that repeats between different neighbours is no run and stays; rows with equal id and text
+are one document (all stay or lose the same lines); a run that occurs twice inside one document, also
+overlapping itself, stays once; a null id counts as the smallest; columns of the input
 are kept as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.textkernel import column_bytes, mix64, span_hashes
+from gaugeworks.llm.textkernel import column_bytes, span_hashes
 from gaugeworks.llm.workspace import Workspace, row_key
 
-WINDOW, RESIDUE, MIN_LINES, MIN_BYTES = 2, 3, 2, 40
+MIN_LINES, MIN_BYTES = 2, 40
 FILTER_BITS = 2**27
-_CHUNKS = "k1 long, k2 long, first int, n int, h1 long, h2 long"
+_RUNS = "k1 long, k2 long, first int, n int, d1 long, d2 long"
 
 
-def chunk_lines(col: pa.Array, window: int = WINDOW, residue: int = RESIDUE):
-    """Chunks of every text: row, first line within the row, number of lines, bytes, two hashes."""
+def chunk_lines(col: pa.Array):
+    """The shortest runs of every text: row, first line within the row, number of lines, bytes, hash."""
     data, off = column_bytes(col)
+    return _runs(data, off)[1:]
+
+
+def _runs(data: np.ndarray, off: np.ndarray):
+    """Of the shortest runs: first byte, row, first line within the row, number of lines, bytes, hash."""
     brk = np.flatnonzero(data == 10)
     # Line starts: each text's start, and behind every line feed; a text of n feeds has n + 1 lines.
     feeds = np.searchsorted(brk, off)
     n_lines = np.diff(feeds) + 1
     row = np.repeat(np.arange(len(n_lines)), n_lines)
     line0 = np.concatenate([[0], np.cumsum(n_lines)])
-    nth = np.arange(line0[-1]) - line0[row]
+    line = np.arange(line0[-1])
+    nth = line - line0[row]
     at = feeds[row] + nth
     start = np.where(nth == 0, off[row], (brk[np.maximum(at - 1, 0)] + 1) if len(brk) else off[row])
     last = nth == n_lines[row] - 1
     end = np.where(last, off[row + 1], brk[np.minimum(at, len(brk) - 1)] if len(brk) else off[row + 1])
-    h = span_hashes(data, start, end)
-    roll = np.zeros(len(h), np.uint64)
-    for k in range(window):
-        prev = np.zeros(len(h), np.uint64)
-        prev[k:] = h[: len(h) - k]
-        roll = mix64(roll + np.where(nth >= k, prev, np.uint64(0)) * np.uint64(2 * k + 1))
-    closes = (roll % np.uint64(residue) == 0) | last
-    stop = np.flatnonzero(closes)
-    begin = np.concatenate([[0], stop[:-1] + 1]).astype(int) if len(stop) else stop
-    n = stop - begin + 1
-    # Two polynomial sums over the lines of a chunk, from prefix sums modulo 2**64.
-    digests = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        place = mix64((nth - np.repeat(nth[begin], n)).astype(np.uint64) + np.uint64(seed)) if len(n) else np.zeros(0, np.uint64)
-        term = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ place), dtype=np.uint64)])
-        digests.append(mix64(term[stop + 1] - term[begin] + n.astype(np.uint64)))
-    return row[begin], nth[begin], n, end[stop] - start[begin], *digests
-
-
-def _chunk_rows(bits: np.ndarray | None = None):
-    """Rows of _CHUNKS for (k1, k2, text); with a filter, rows that pass it, with their bytes."""
+    stop = np.maximum(np.searchsorted(end, start + MIN_BYTES), line + MIN_LINES - 1)
+    begin = np.minimum(np.searchsorted(start, end - MIN_BYTES, "right") - 1, line - MIN_LINES + 1)
+    forth, back = stop < line0[row + 1], begin >= line0[row]
+    count = max(len(line), 1)
+    both = np.unique(np.concatenate([line[forth] * count + stop[forth], begin[back] * count + line[back]]))
+    begin, stop = both // count, both % count
+    first = start[begin]
+    return first, row[begin], nth[begin], stop - begin + 1, end[stop] - first, span_hashes(data, first, end[stop])
+
+
+def _hashes(batches):
+    """One hash a row of the shortest runs of (k1, k2, text)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            h = chunk_lines(batch.column(2).slice(lo, 1024))[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _run_rows(bits: np.ndarray):
+    """Rows of _RUNS for (k1, k2, text): the shortest runs that pass the filter."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                row, first, n, size, h1, h2 = chunk_lines(part.column(2))
-                keep = (n >= MIN_LINES) & (size >= MIN_BYTES)
-                if bits is not None:
-                    keep &= _passes(bits, h1) & _passes(bits, h2)
+                data, off = column_bytes(part.column(2))
+                begin, row, first, n, size, h = _runs(data, off)
+                keep = np.flatnonzero(_passes(bits, h))
+                view = memoryview(np.ascontiguousarray(data))
+                spans = zip(begin[keep].tolist(), (begin + size)[keep].tolist())
+                digests = b"".join([hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in spans])
+                digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 at = pa.array(row[keep])
                 cols = [part.column(0).take(at), part.column(1).take(at)]
-                cols += [pa.array(x[keep].astype(np.int32)) for x in (first, n)] + [pa.array(x[keep].view(np.int64)) for x in (h1, h2)]
-                names = ["k1", "k2", "first", "n", "h1", "h2"]
-                if bits is not None:
-                    data, off = column_bytes(part.column(2))
-                    begin = _line_starts(data, off, row[keep], first[keep])
-                    cols.append(pa.array([data[a : a + z].tobytes() for a, z in zip(begin, size[keep])], pa.binary()))
-                    names.append("bytes")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols += [pa.array(x[keep].astype(np.int32)) for x in (first, n)] + [pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "first", "n", "d1", "d2"])
 
     return run
 
 
-def _line_starts(data: np.ndarray, off: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    brk = np.flatnonzero(data == 10)
-    at = np.searchsorted(brk, off[row]) + line - 1
-    return np.where(line == 0, off[row], (brk[np.clip(at, 0, max(len(brk) - 1, 0))] + 1) if len(brk) else off[row])
-
-
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h % np.uint64(len(bits) * 64)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    found = np.ones(len(h), bool)
+    for part in (h, h >> np.uint64(32)):
+        at = part & np.uint64(len(bits) * 64 - 1)
+        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
 
 def _bloom(repeated: DataFrame) -> np.ndarray:
-    """A Bloom filter of (h1, h2) as 64-bit words; the driver receives at most FILTER_BITS / 64 of them."""
+    """A Bloom filter of h as 64-bit words; the driver receives at most FILTER_BITS / 64 of them."""
     size = 2**10
     count = repeated.count()
     while size < min(16 * count, FILTER_BITS):
         size *= 2
-    places = repeated.selectExpr(f"explode(array(h1 & {size - 1}L, h2 & {size - 1}L)) as at")
+    places = repeated.selectExpr(f"explode(array(h & {size - 1}L, shiftrightunsigned(h, 32) & {size - 1}L)) as at")
     words = places.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")
     )
@@ -116,33 +123,41 @@ def _bloom(repeated: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Texts without the lines of their cuts (first line times 2**32 plus number of lines), and how many went."""
+    kept, gone = text.to_pylist(), [0] * len(text)
+    for k, places in enumerate(cuts.to_pylist()):
+        if places:
+            lines = kept[k].split("\n")
+            places = np.array(places, np.int64)
+            first, n = places >> 32, places & (2**32 - 1)
+            edges = np.bincount(first, minlength=len(lines) + 1) - np.bincount(first + n, minlength=len(lines) + 1)
+            goes = np.cumsum(edges)[:-1] > 0
+            kept[k] = "\n".join([lines[i] for i in np.flatnonzero(~goes)])
+            gone[k] = int(goes.sum())
+    return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, pa.int32())], names=["text", "gone"])
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of `text`, and n_lines and removed_lines in front of its columns.
+    """docs with repeated runs of lines taken out of `text`, and n_lines and removed_lines in front of its columns.
 
     n_lines counts the lines of the text that came in.
     """
     work = Workspace(spark, "line-dedup")
     keyed = docs.select(*row_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = docs.select(*row_key(), F.col("text").cast("string").alias("text")).where("text is not null")
-    chunks = work.cut(text.mapInArrow(_chunk_rows(), _CHUNKS), "chunks")
-    stays = chunks.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "first", "n")).alias("s")
-    )
-    stays = work.cut(stays.where("m > 1").select("h1", "h2", "s"), "stays")
-    found = text.mapInArrow(_chunk_rows(_bloom(stays)), f"{_CHUNKS}, bytes binary")
-    found = work.cut(found, "found").join(stays, ["h1", "h2"])
-    there = found.where("struct(k1, k2, first, n) = s").select("h1", "h2", F.col("bytes").alias("stay"))
-    there = there.dropDuplicates(["h1", "h2"])
-    here = found.where("struct(k1, k2, first, n) <> s")
-    same = here.join(there, ["h1", "h2"]).where("bytes = stay").select("k1", "k2", "first", "n")
-    cuts = same.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("cuts"))
-    out = keyed.join(cuts, ["k1", "k2"], "left")
-    rest = "filter(split(doc.text, '\\n', -1), (l, i) -> not exists(cuts, c -> i >= c.first and i < c.first + c.n))"
+    hashes = text.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    repeated = work.cut(hashes.where("m > 1").select("h"), "repeated")
+    found = work.cut(text.mapInArrow(_run_rows(_bloom(repeated)), _RUNS), "found")
+    work.drop("repeated")
+    stays = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "first")).alias("s"))
+    stays = work.cut(stays.where("m > 1").drop("m"), "stays")
+    later = found.join(stays, ["d1", "d2"]).where("struct(k1, k2, first) <> s")
+    cuts = later.groupBy("k1", "k2").agg(F.collect_set(F.expr("shiftleft(bigint(first), 32) + n")).alias("cuts"))
+    without = F.arrow_udf(_without, "struct<text string, gone int>")
+    out = keyed.join(cuts, ["k1", "k2"], "left").withColumn("rest", without(F.col("doc.text").cast("string"), F.col("cuts")))
     return out.selectExpr(
         "coalesce(size(split(doc.text, '\\n', -1)), 0) as n_lines",
-        "coalesce(aggregate(cuts, 0, (s, c) -> s + c.n), 0) as removed_lines",
-        *[
-            f"case when cuts is null then doc.text else array_join({rest}, '\\n') end as text" if c == "text" else f"doc.`{c}`"
-            for c in docs.columns
-        ],
+        "rest.gone as removed_lines",
+        *["rest.text as text" if c == "text" else f"doc.`{c}`" for c in docs.columns],
     )

@@ -100,6 +100,43 @@ def test_repeated_line_chunks_go_and_one_stays(spark, docs):
     assert line_dedup.dedup_lines(spark, nothing(docs)).count() == 0
 
 
+def brute_line_dedup(texts):
+    """Lines left of each text: what lies in a run of two lines and 40 bytes or more that stands earlier too goes."""
+    lines = [t.split("\n") for t in texts]
+    seen = {}
+    for d, ls in enumerate(lines):
+        for a in range(len(ls)):
+            for z in range(a + 2, len(ls) + 1):
+                seen.setdefault(tuple(ls[a:z]), (d, a))
+    goes = {
+        (d, i)
+        for d, ls in enumerate(lines)
+        for a in range(len(ls))
+        for z in range(a + 2, len(ls) + 1)
+        if len("\n".join(ls[a:z])) >= 40 and seen[tuple(ls[a:z])] < (d, a)
+        for i in range(a, z)
+    }
+    return ["\n".join(x for i, x in enumerate(ls) if (d, i) not in goes) for d, ls in enumerate(lines)]
+
+
+def test_line_dedup_takes_out_the_maximal_repeated_runs(spark):
+    r, texts = random.Random(7), []
+    for size in (2, 3, 4, 5, 8, 13, 20):  # shared passages, whole or a part, in different surroundings
+        for words in (1, 3, 12):
+            passage = [prose(r.randrange(10**6), words) for _ in range(size)]
+            for k in range(3):
+                lo = r.randrange(size - 1) if k == 2 else 0
+                around = [[prose(r.randrange(10**6), 9) for _ in range(r.randrange(4))] for _ in range(2)]
+                texts.append("\n".join(around[0] + passage[lo:] + around[1]))
+    texts += ["\n".join([prose(8, 9)] * 5), prose(8, 9) + "\nother", "\n" * 60, "x\n" + "\n" * 60, "short\nrun", "short\nrun", ""]
+    out = line_dedup.dedup_lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {row.doc_id: row for row in out.collect()}
+    want = brute_line_dedup(texts)
+    assert [got[k].text for k in range(len(texts))] == want
+    kept = [w.count("\n") + 1 if w or t == w else 0 for t, w in zip(texts, want)]
+    assert [got[k].n_lines - got[k].removed_lines for k in range(len(texts)) if want[k]] == [n for n, w in zip(kept, want) if w]
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [prose(k, 8) for k in range(60)]
     chunks = lambda text: set(zip(*[x.tolist() for x in line_dedup.chunk_lines(pa.array([text]))[4:]]))
