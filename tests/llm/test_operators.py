@@ -271,6 +271,20 @@ def test_shards_are_even_and_slots_gapless(spark):
         assert slots == list(range(len(slots)))
 
 
+def test_a_hot_text_alone_is_split(spark):
+    rows = [(k, "hot text " * 20) for k in range(400)] + [(1000 + k, f"text {k % 60}") for k in range(120)]
+    got = shards.sharded(spark, spark.createDataFrame(rows, "doc_id long, text string"), cells=8).collect()
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+    hot = zlib.crc32(b"hot text " * 20)
+    assert len(got) == len(rows) and len(homes[hot]) == 8
+    assert all(len(home) == 1 for crc, home in homes.items() if crc != hot)
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_of_odd_rows(spark, docs):
     rows = shards.sharded(spark, docs).collect()
     assert sorted(r.size for r in rows) == sorted(len(t or "") + 1 for _, t in TEXTS)
