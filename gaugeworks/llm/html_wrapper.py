@@ -3,8 +3,10 @@
 Pages of one host are written by one program. One page of each host, chosen by hash, is the pivot;
 every page's DOM tree is aligned with its host's pivot by simple tree matching. A text leaf that is
 equal in the pivot's aligned leaf at most pages of the host is template; all other leaves fill slots.
-Slots inside navigation, adverts, forms, comments and the like, told by tag or by a word in class, id
-or role, are no content, and neither are slots outside the article where a page marks one. What the
+Slots inside navigation, adverts, forms, comments and the like, told by tag or by a whole word of class,
+id or role, are no content, but an article or main element that only words of its ancestors make so
+counts where it holds more text than all that is free without. Slots outside the articles, or else
+outside the main element, are no content where those inside hold most of the free text. What the
 remaining slots hold is the text.
 
 Evidence for a template leaf comes from pages of the same host that differ from the pivot in at least
@@ -23,7 +25,6 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -61,10 +62,12 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("label", "children", "text", "chrome", "marked", "shape")
+    """chrome: 1 by word, 2 by tag; marked: 1 in main, 2 in an article; saved: in one that chrome by word surrounds."""
 
-    def __init__(self, label: str, chrome: bool = False, marked: int = 0, text: str = ""):
-        self.label, self.chrome, self.marked, self.text = label, chrome, marked, text
+    __slots__ = ("label", "children", "text", "chrome", "marked", "saved", "shape")
+
+    def __init__(self, label: str, chrome: int = 0, marked: int = 0, saved: bool = False, text: str = ""):
+        self.label, self.chrome, self.marked, self.saved, self.text = label, chrome, marked, saved, text
         self.children: list[Node] = []
         self.shape = 0
 
@@ -85,7 +88,7 @@ class _Builder(HTMLParser):
             self.text = []
             if text:
                 top = self.open[-1][1]
-                top.children.append(Node("#", top.chrome, top.marked, text))
+                top.children.append(Node("#", top.chrome, top.marked, top.saved, text))
 
     def _close(self, tag: str, stop: frozenset = frozenset()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -109,9 +112,9 @@ class _Builder(HTMLParser):
             self._break()
         if tag in VOID or tag in ("html", "body"):
             return
-        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower())}
+        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()}
         landmark = 2 if tag == "article" else 1 if tag == "main" or "main" in words and ("role", "main") in attrs else 0
-        chrome = not landmark and (tag in CHROME_TAGS or not words.isdisjoint(CHROME_WORDS))
+        chrome = 0 if landmark == 1 else 2 if tag in CHROME_TAGS else 0 if words.isdisjoint(CHROME_WORDS) else 1
         if tag not in BLOCK_TAGS and not chrome:
             return
         self._break()
@@ -121,9 +124,12 @@ class _Builder(HTMLParser):
             self._close(ended, FENCES)
         top = self.open[-1][1]
         if tag == "header" and top.marked:  # an article's own heading is part of it
-            chrome = top.chrome
+            chrome = 0
+        saves = landmark > top.marked and top.chrome == 1 and not chrome
+        if not saves:
+            chrome = max(chrome, top.chrome)
         kind = next((v or "" for k, v in attrs if k == "class"), "")
-        node = Node(f"{tag} {kind}", top.chrome or chrome, max(top.marked, landmark))
+        node = Node(f"{tag} {kind}", chrome, max(top.marked, landmark), top.saved or saves)
         if len(self.open) <= DEPTH:
             top.children.append(node)
             self.open.append((tag, node))
@@ -257,10 +263,20 @@ def leaves(node: Node) -> list[Node]:
 
 
 def slots(page: Node) -> list[Node]:
-    """The text leaves that may be content: outside chrome, inside the article where the page has one."""
+    """The text leaves that may be content: outside chrome, inside articles or main where those hold most of the text."""
+
+    def size(some: list[Node]) -> int:
+        return sum(len(x.text) for x in some)
+
     free = [x for x in leaves(page) if not x.chrome]
-    best = max((x.marked for x in free), default=0)
-    return [x for x in free if x.marked == best]
+    plain = [x for x in free if not x.saved]
+    if 2 * size(plain) >= size(free):
+        free = plain
+    for level in (2, 1):
+        inside = [x for x in free if x.marked >= level]
+        if 2 * size(inside) > size(free):
+            return inside
+    return free
 
 
 def equal_leaves(page: Node, pivot: Node, place: dict[int, int]) -> dict[int, int]:

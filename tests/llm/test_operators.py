@@ -161,6 +161,18 @@ def test_constant_nodes_are_template_and_slots_content(spark):
     assert html_wrapper.main_text(spark, nothing(frame)).count() == 0
 
 
+def test_chrome_words_do_not_take_the_article():
+    main, card, page = prose(1, 60), prose(2, 6), lambda html: " ".join(x.text for x in html_wrapper.slots(html_wrapper.dom(html)))
+    for name in ("layout no-sidebar", "has-comments", "with-menu", "post-share"):
+        assert page(f"<div class='{name}'><p>{main}</p></div>") == main
+    assert page(f"<div class='search'><main><p>{main}</p></main></div><p>{card}</p>") == main
+    assert page(f"<main><div class='sidebar'><article>{main}</article></div></main>") == main
+    assert page(f"<article>{main}<article class='comment'>{card}</article></article><article class='ad'>{card}</article>") == main
+    assert page(f"<article>{main}</article><div class='related'><article>{card}</article></div>") == main
+    assert page(f"<nav><article>{card}</article></nav><p>{main}</p>") == main
+    assert page(f"<div><p>{main}</p><article>{card}</article></div>") == f"{main} {card}"
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     html = PAGE.format("Heading", prose(1, 40))
     frame = spark.createDataFrame([(k, "http://h/", html) for k in range(10)], "page_id long, url string, html string")
