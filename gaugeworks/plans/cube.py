@@ -12,20 +12,33 @@ from gaugeworks.model import Filter, Model, ModelError, Request
 from gaugeworks.plans.compiler import Plan, Tables
 
 DEFAULT_LIMIT = 10_000
+KEYS = frozenset("measures dimensions timeDimensions filters order limit offset".split())
+TIME_KEYS = frozenset("dimension granularity dateRange".split())
+
+
+def _refuse_unknown(given: dict, known: frozenset) -> None:
+    """A key that is not understood may change the figures, so it is no answer to leave it out."""
+    unknown = sorted(k for k in given if k not in known)
+    if unknown:
+        raise ModelError(f"cube query keys that are not built: {', '.join(unknown)}")
 
 
 def request_of(query: dict) -> Request:
     """The request that a query means; nested boolean groups are applied by `run`."""
+    _refuse_unknown(query, KEYS)
     times = query.get("timeDimensions") or []
     if len(times) > 1:
         raise ModelError("one time dimension at most")
     time = times[0] if times else {}
+    _refuse_unknown(time, TIME_KEYS)
     filters = tuple(
         Filter(f["member"], f["operator"], f.get("values"))
         for f in query.get("filters", [])
         if "member" in f
     )
     if time.get("dateRange"):
+        if isinstance(time["dateRange"], str) or len(time["dateRange"]) != 2:
+            raise ModelError("a date range is a list of first and last day; relative ranges are not built")
         start, end = time["dateRange"]
         filters += (Filter(time["dimension"], "inDateRange", [start, end]),)
     order = query.get("order") or {}
@@ -66,6 +79,17 @@ def _named(g: dict) -> list[str]:
 
 
 def run(model: Model, tables: Tables, query: dict) -> DataFrame:
+    """The query's rows; with compareDateRange one query runs per range, its rows tagged with the range."""
+    times = query.get("timeDimensions") or []
+    if len(times) == 1 and times[0].get("compareDateRange"):
+        if times[0].get("dateRange"):
+            raise ModelError("either dateRange or compareDateRange")
+        rest = {k: v for k, v in times[0].items() if k != "compareDateRange"}
+        frames = []
+        for window in times[0]["compareDateRange"]:
+            frame = run(model, tables, query | {"timeDimensions": [rest | {"dateRange": window}]})
+            frames.append(frame.withColumn("compareDateRange", F.lit(" - ".join(str(day)[:10] for day in window))))
+        return reduce(DataFrame.unionByName, frames)
     plan = _CubePlan(model, tables, request_of(query))
     plan.groups = [f for f in query.get("filters", []) if "member" not in f]
     return plan.frame()

@@ -107,6 +107,27 @@ def test_cube_query_limits_and_orders(tables):
     assert rows(run(MODEL, tables, query)) == [("a", 36)]
 
 
+@pytest.mark.parametrize(
+    "more",
+    [
+        {"segments": ["sales.big"]},
+        {"ungrouped": True},
+        {"timeDimensions": [{"dimension": "sales.day", "compareDateRange": ["this month", "last month"]}]},
+        {"timeDimensions": [{"dimension": "sales.day", "dateRange": "last month"}]},
+    ],
+)
+def test_cube_query_refuses_what_is_not_built(tables, more):
+    with pytest.raises(ModelError, match="not built"):
+        run(MODEL, tables, {"measures": ["sales.sales"], "dimensions": ["sales.rep_id"]} | more)
+
+
+def test_cube_query_compares_ranges(tables):
+    time = {"dimension": "sales.day", "compareDateRange": [["2026-09-01", "2026-09-30"], ["2026-10-01", "2026-10-31"]]}
+    query = {"measures": ["sales.sales"], "dimensions": ["sales.rep_id"], "timeDimensions": [time]}
+    first, second = "2026-09-01 - 2026-09-30", "2026-10-01 - 2026-10-31"
+    assert rows(run(MODEL, tables, query)) == [("a", 1, second), ("a", 35, first), ("b", 7, first)]
+
+
 def test_partial_months(spark):
     def flagged(values):
         df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "month int, v double")
