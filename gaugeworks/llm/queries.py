@@ -20,7 +20,7 @@ from gaugeworks.llm.workspace import Workspace, table
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_classes(spark, table(spark, sf_dir, "documents"))
-    return members.select("doc_id", "n_shingles", "component_id")
+    return members.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +133,12 @@ o AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb,
       FROM (SELECT * FROM t WHERE tok IN (SELECT tok FROM d)) a
       JOIN (SELECT * FROM t WHERE tok IN (SELECT tok FROM d)) b ON a.tok = b.tok AND a.rep < b.rep GROUP BY a.rep, b.rep),
 l AS (SELECT a, b FROM o WHERE 100 * i >= 75 * (na + nb - i)),
-e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
-      UNION ALL SELECT s.doc_id, c.rep FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) s JOIN c USING (sh)
-      UNION ALL SELECT c.rep, s.doc_id FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) s JOIN c USING (sh)),
+q AS (SELECT s.doc_id, c.rep FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) s JOIN c USING (sh)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l UNION ALL SELECT doc_id, rep FROM q UNION ALL SELECT rep, doc_id FROM q),
+g AS (SELECT x, count(*) AS n_links FROM (SELECT a AS x FROM l UNION ALL SELECT b FROM l) GROUP BY x),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
-SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links
 FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = s.doc_id
+LEFT JOIN q ON q.doc_id = s.doc_id LEFT JOIN g ON g.x = q.rep
 """,
 }

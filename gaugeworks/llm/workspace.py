@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a broadcast sieve, at most.
+SIEVE = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -49,10 +51,15 @@ class Workspace:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    def release(self) -> None:
-        """Has Spark delete the shuffle files of frames that nothing names any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def sieved(self, df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose hash in `column` may be one of wanted's, before they are shuffled into an exact join.
+
+        Broadcasts the low bits of wanted's hashes: 40 bits of up to SIEVE rows, or 20 bits of any number, so
+        SIEVE values at most. With far more than SIEVE rows it lets nearly everything pass.
+        """
+        low = f"`{column}` & {(1 << (40 if wanted.limit(SIEVE + 1).count() <= SIEVE else 20)) - 1}L"
+        values = self.cut(wanted.select(F.expr(low).alias("low bits")).distinct(), f"sieve-{column}")
+        return df.join(F.broadcast(values), F.expr(low) == F.col("low bits"), "left_semi")
 
 
 def row_key() -> list[Column]:

@@ -64,7 +64,7 @@ def brute_components(rows):
     return sorted(((k, len(s), least.get(top(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.SQL) - {"op6_ngram_jaccard_join"}))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
 
