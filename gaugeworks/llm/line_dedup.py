@@ -138,10 +138,10 @@ def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, pa.int32())], names=["text", "gone"])
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, counts: bool = True) -> DataFrame:
     """docs with repeated runs of lines taken out of `text`, and n_lines and removed_lines in front of its columns.
 
-    n_lines counts the lines of the text that came in.
+    n_lines counts the lines of the text that came in. Without counts only the columns of docs come back.
     """
     work = Workspace(spark, "line-dedup")
     keyed = docs.select(*row_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
@@ -156,8 +156,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cuts = later.groupBy("k1", "k2").agg(F.collect_set(F.expr("shiftleft(bigint(first), 32) + n")).alias("cuts"))
     without = F.arrow_udf(_without, "struct<text string, gone int>")
     out = keyed.join(cuts, ["k1", "k2"], "left").withColumn("rest", without(F.col("doc.text").cast("string"), F.col("cuts")))
+    found = ["coalesce(size(split(doc.text, '\\n', -1)), 0) as n_lines", "rest.gone as removed_lines"]
     return out.selectExpr(
-        "coalesce(size(split(doc.text, '\\n', -1)), 0) as n_lines",
-        "rest.gone as removed_lines",
+        *(found if counts else []),
         *["rest.text as text" if c == "text" else f"doc.`{c}`" for c in docs.columns],
     )

@@ -15,7 +15,7 @@ mark U+2581 itself, if it occurs in a text, is encoded as bytes; otherwise it wo
 
 Defined results: null and empty text have no pieces; null ids decode to an empty text; control pieces
 decode to nothing; rows are kept as they are and as often as they come; an input column named like a
-result column is replaced; an empty table gives an empty result.
+result column, in upper or lower case, is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and neighbouring pairs of pieces, whose results a worker remembers; it forgets them all beyond.
-REMEMBERED = 300_000
+#: Words of up to 64 characters, and neighbouring pairs of pieces, whose results a worker remembers; it forgets them all beyond.
+REMEMBERED = 120_000
 
 
 _ONE = (1,)
@@ -217,59 +216,51 @@ def decode_ids(ids, vocab: Pieces) -> str:
 
 
 def encoded(docs: DataFrame, path: str = MODEL, merges: bool = True) -> DataFrame:
-    """docs with the array column `ids` and its length `n_tokens`."""
-
-    def run(batches):
-        vocab = pieces(path, merges)
-        for batch in batches:
-            for lo, n in _bounded(batch, -1):
-                part = batch.slice(lo, n)
-                ids, off = encode_column(part.column(part.num_columns - 1), vocab)
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(part.num_columns - 1)), lists, pa.array(np.diff(off))], names=names
-                )
-
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("text to encode"))
-    names = [*kept, "ids", "n_tokens"]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
-    return rows.mapInArrow(run, schema)
+    """docs with the array column `ids` and its length `n_tokens`.
+
+    Only the text goes to Python, in slices of bounded bytes; all other columns stay where they are.
+    """
+
+    def run(col: pa.Array) -> pa.Array:
+        vocab, parts = pieces(path, merges), [pa.array([], pa.list_(pa.int32()))]
+        for lo, n in _bounded(col):
+            ids, off = encode_column(col.slice(lo, n), vocab)
+            parts.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts)
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    ids = F.arrow_udf(run, "array<int>")(F.col("text").cast("string"))
+    return docs.select(*kept, ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """rows with the column `decoded`: the text that `ids` stand for."""
 
-    def run(batches):
+    def run(lists: pa.Array) -> pa.Array:
         vocab = pieces(path)
         table = np.frombuffer(b"".join(vocab.bytes), np.uint8)
         ends = np.concatenate([[0], np.cumsum([len(b) for b in vocab.bytes])])
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                lists = part.column(part.num_columns - 1)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = np.diff(ends)[ids] if len(ids) else ids
-                to = np.concatenate([[0], np.cumsum(size)])
-                at = np.arange(to[-1]) - np.repeat(to[:-1], size) + np.repeat(ends[ids] if len(ids) else size, size)
-                data = table[at].tobytes()
-                per_row = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists])])
-                text = [data[a:b].decode("utf-8", "replace") for a, b in zip(to[per_row[:-1]], to[per_row[1:]])]
-                text = [t[1:] if t.startswith(" ") else t for t in text]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(part.num_columns - 1)), pa.array(text, pa.string())], names=names
-                )
-
-    kept = [c for c in rows.columns if c != "decoded"]
-    names = [*kept, "decoded"]
-    given = rows.select(*[F.col(f"`{c}`") for c in kept])
-    schema = given.schema.add("decoded", "string")
-    return given.withColumn("ids to decode", F.expr("filter(ids, k -> k >= 0)")).mapInArrow(run, schema)
-
-
-def _bounded(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """(start, rows) of slices whose text has at most `most` bytes, or one row."""
-    col = batch.column(batch.num_columns + column)
+        parts = [pa.array([], pa.string())]
+        for lo in range(0, len(lists), 256):
+            part = lists.slice(lo, 256)
+            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(ends)[ids] if len(ids) else ids
+            to = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(to[-1]) - np.repeat(to[:-1], size) + np.repeat(ends[ids] if len(ids) else size, size)
+            data = table[at].tobytes()
+            per_row = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in part])])
+            text = [data[a:b].decode("utf-8", "replace") for a, b in zip(to[per_row[:-1]], to[per_row[1:]])]
+            parts.append(pa.array([t[1:] if t.startswith(" ") else t for t in text], pa.string()))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts)
+
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != "decoded"]
+    return rows.select(*kept, F.arrow_udf(run, "string")(F.expr("filter(ids, k -> k >= 0)")).alias("decoded"))
+
+
+def _bounded(col: pa.Array, most: int = 2 << 20):
+    """(start, rows) of slices whose texts have at most `most` bytes, or one row."""
     size = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
     lo, held = 0, 0
     for k, s in enumerate(size):

@@ -4,6 +4,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gaugeworks.llm import decontaminate, html_wrapper, line_dedup, multiset_hash, ngram_join, quality_qda, queries, sentencepiece_viterbi, shards, warc
@@ -214,6 +215,8 @@ def test_ids_are_those_of_the_library_and_decode_back(spark, docs):
     mark = sentencepiece_viterbi.encode_column(pa.array(["a ▁ b"]), vocab)[0]
     assert sentencepiece_viterbi.decode_ids(mark.tolist(), vocab) == "a ▁ b"
     assert sentencepiece_viterbi.encoded(nothing(docs)).count() == 0
+    other = sentencepiece_viterbi.encoded(docs.withColumnRenamed("k1", "IDS").withColumnRenamed("row", "N_Tokens"))
+    assert other.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens"] and other.where("text is null and n_tokens <> 0").count() == 0
 
 
 def test_unigram_paths_have_the_best_score():
@@ -340,11 +343,13 @@ def test_control_strings_are_escaped_reversibly():
 
 
 def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
+    clashing = "n_lines removed_lines doc rest cuts node th k k2 comp score predicted item_id keep s worded".split()
+    docs = docs.select("*", *[F.lit(7).alias(c) for c in clashing])
     got = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         last = k == len(corpus_pipeline.STAGES) - 1
         out = stage(spark, got, SF)
-        assert out.columns == [*docs.columns, "ids", "n_tokens"] if last else out.columns == docs.columns
+        assert out.columns == ([*docs.columns, "ids", "n_tokens"] if last else docs.columns)
         assert stage(spark, nothing(docs), SF).count() == 0
         out.write.parquet(str(tmp_path / str(k)))
         got = spark.read.parquet(str(tmp_path / str(k)))
