@@ -4,8 +4,8 @@ Equal texts form a group. Groups are gathered into a fixed number of cells by a
 so the packer sees a bounded number of items whatever the number of documents. An item is a vector
 (bytes, tokens, rows); items are placed largest first into the shard where the dot product of the
 item with the shard's residual capacity is highest. A group that is larger than a set part of a
-shard's capacity (a hot text) leaves its cell and is split into parts by a hash of the id, and the
-parts are items; every other group stays in one shard, with all of its cell. Hot texts are looked for
+shard's capacity (a hot text) leaves its cell and is split into parts by a hash of the id and of a
+running number, written with the row, so that null and repeated ids split too; the parts are items; every other group stays in one shard, with all of its cell. Hot texts are looked for
 in cells above that part only, by sums over a 64-bit hash of the text.
 
 Slots are gapless in each shard: an item's first slot is the sum of the rows of the shard's items
@@ -52,15 +52,15 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
 def sharded(spark: SparkSession, docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of documents."""
     work = Workspace(spark, "shards")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    own, text = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("text")).select(
+        "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        (F.size(F.split(text, " ")) + 0).cast("long").alias("tokens"),
+        F.size(F.expr(r"filter(split(text, '[\x20\x09-\x0D]+', -1), w -> w <> '')")).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
         F.pmod(F.xxhash64(text), F.lit(cells)).cast("int").alias("cell"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(2**30)).alias("spot"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.monotonically_increasing_id()), F.lit(2**30)).alias("spot"),
     )
     rows = work.cut(rows, "rows")
     sums = [F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens")]

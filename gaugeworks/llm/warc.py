@@ -10,7 +10,9 @@ A range owns the pieces that start inside it and reads on past its end for the l
 becomes a record if it inflates and begins with a WARC header; compressed data that happen to
 contain the magic cut a member in two, and a member that has not ended takes the pieces that
 follow. When such a cut falls on the edge of a range, the open member and the loose pieces behind it
-are put together per file in a last, tiny step.
+are put together per file in a last, tiny step. A record whose member is cut short or corrupt is left
+out; the records behind it are read. A file that is a single gzip member has no place to split and is one
+task's work; a file without WARC members gives no record.
 
 Defined results: null payload is an empty payload; a null url leaves the header out; control
 characters and blanks in a url are percent-encoded; equal payloads of at least `least` bytes get
@@ -25,6 +27,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import deque
 from urllib.parse import quote
 
 import pandas as pd
@@ -92,7 +95,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2000-01
 
 
 _PIECE = "file string, start long, seq long, open boolean, piece binary"
-_RECORD = "headers map<string,string>, payload binary, payload_digest string"
+_RECORD = "headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
 
 
 class _Member:
@@ -119,33 +122,41 @@ def parse_record(raw: bytes) -> tuple[dict, bytes]:
 
 
 def _join_pieces(pieces, leftover):
-    """Records of one byte range's pieces in order; what belongs to no record here goes to leftover(open, bytes)."""
-    member, held, seen = None, b"", False
-    for piece in pieces:
-        piece = MAGIC + piece
+    """Records of consecutive pieces; what belongs to no record here goes to leftover(open, piece).
+
+    A member that turns out to be cut short or corrupt goes, and every piece that it had taken is tried
+    as the begin of a member of its own. Pieces before the first record, and those of a member that has
+    not ended, are left over.
+    """
+    again, held, member, seen = deque(), [], None, False
+    pieces = iter(pieces)
+    while (piece := again.popleft() if again else next(pieces, None)) is not None:
         if member is not None:
-            held += piece
+            held.append(piece)
             if not member.feed(piece):
+                again.extendleft(reversed(held[1:]))
                 member = None
         else:
             fresh = _Member()
             if fresh.feed(piece):
-                member, held, seen = fresh, piece, True
+                member, held, seen = fresh, [piece], True
             elif not seen:
                 leftover(False, piece)
         if member is not None and member.z.eof:
             yield member.out
             member = None
     if member is not None:
-        leftover(True, held)
+        for k, piece in enumerate(held):
+            leftover(k == 0, piece)
 
 
 def _arrow(records, left, keep_payload):
-    fields, payload, digest = [], [], []
+    fields, payload, size, digest = [], [], [], []
     for raw in records:
         f, body = parse_record(raw)
         fields.append(list(f.items()))
         payload.append(body if keep_payload else None)
+        size.append(len(body))
         digest.append(payload_digest(body))
     n = len(fields) + len(left)
     pad = [None] * len(left)
@@ -153,17 +164,18 @@ def _arrow(records, left, keep_payload):
     cols = [
         pa.array(fields + pad, pa.map_(pa.string(), pa.string())),
         pa.array(payload + pad, pa.binary()),
+        pa.array(size + pad, pa.int64()),
         pa.array(digest + pad, pa.string()),
         *(pa.array(none + [x[i] for x in left], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))),
     ]
     assert all(len(c) == n for c in cols)
-    return pa.RecordBatch.from_arrays(cols, names=["headers", "payload", "payload_digest", "file", "start", "seq", "open", "piece"])
+    return pa.RecordBatch.from_arrays(cols, names=["headers", "payload", "payload_bytes", "payload_digest", "file", "start", "seq", "open", "piece"])
 
 
 def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """(headers, payload, payload_digest) of every record of the archives under path.
+    """(headers, payload, payload_bytes, payload_digest) of every record of the archives under path.
 
-    payload_digest is computed from the payload read, not taken from the header.
+    Length and digest are those of the payload read, not what the header says.
     """
     pieces = (
         spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
@@ -191,7 +203,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
                         piece = state["next"][1]
                         state["next"] = next(stream, None)
                         if piece:
-                            yield piece
+                            yield MAGIC + piece
 
                 yield at, same()
 
@@ -211,20 +223,16 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
     found = pieces.mapInArrow(owned, f"{_RECORD}, {_PIECE}")
 
     def mended(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, pdf = [], pdf.sort_values(["start", "seq"])
-        member = None
-        for is_open, piece in zip(pdf["open"], pdf["piece"]):
-            if is_open:
-                member = _Member()
-            if member is not None and not member.feed(piece):
-                member = None
-            if member is not None and member.z.eof:
-                f, body = parse_record(member.out)
-                out.append((f, body if keep_payload else None, payload_digest(body)))
-                member = None
-        return pd.DataFrame(out, columns=["headers", "payload", "payload_digest"])
-
-    whole = found.where("headers is not null").select("headers", "payload", "payload_digest")
+        pdf = pdf.sort_values(["start", "seq"])
+        out = []
+        for _, part in pdf.groupby(pdf["open"].cumsum()):
+            if part["open"].iloc[0]:
+                for raw in _join_pieces(part["piece"], lambda is_open, piece: None):
+                    f, body = parse_record(raw)
+                    out.append((f, body if keep_payload else None, len(body), payload_digest(body)))
+        return pd.DataFrame(out, columns=["headers", "payload", "payload_bytes", "payload_digest"])
+
+    whole = found.where("headers is not null").select("headers", "payload", "payload_bytes", "payload_digest")
     loose = found.where("headers is null").select("file", "start", "seq", "open", "piece")
     return whole.union(loose.groupBy("file").applyInPandas(mended, _RECORD))
 
@@ -240,7 +248,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     stated = F.regexp_replace(h["WARC-Payload-Digest"], "^sha1:", "")
     return rows.select(
         h["X-Page-ID"].cast("long").alias("page_id"),
-        h["X-Payload-Length"].cast("long").alias("payload_bytes"),
+        F.when(kind == "response", F.col("payload_bytes")).otherwise(h["X-Payload-Length"].cast("long")).alias("payload_bytes"),
         F.when(kind == "response", F.col("payload_digest")).otherwise(stated).alias("payload_digest"),
         kind.alias("record_type"),
         h["X-Refers-To-Page-ID"].cast("long").alias("refers_to"),

@@ -276,6 +276,33 @@ def test_archives_split_anywhere_give_every_record_back(spark, tmp_path):
     warc.write_warc(nothing(frame), str(tmp_path / "none"))
 
 
+def test_damaged_archives_lose_the_damaged_records_only(spark, tmp_path):
+    members = [warc.gzip_member(warc.record_bytes(k, f"http://h/{k}", prose(k, 400).encode(), None, "2000-01-01T00:00:00Z")) for k in range(12)]
+    members[2] = members[2][: len(members[2]) // 2]
+    members[5] = members[5][:200] + bytes(300) + members[5][500:]
+    members[8] = warc.MAGIC + b"no gzip at all" + warc.MAGIC
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.warc").write_bytes(b"".join(members))
+    (tmp_path / "d" / "b.warc").write_bytes(b"plain text " * 500)
+    (tmp_path / "d" / "c.warc").write_bytes(members[-1][:-9])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("613", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = {r.page_id: r.payload_bytes for r in warc.page_records(spark, str(tmp_path / "d")).collect()}
+            assert got == {k: len(prose(k, 400)) for k in range(12) if k not in (2, 5, 8)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_without_ids_balance(spark):
+    rows = [(None, "same text " * 9)] * 2000 + [(5, "other text " * 9)] * 1000
+    got = shards.sharded(spark, spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(got) == 8 and max(r.s for r in got) <= 1.25 * min(r.s for r in got)
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = shards.sharded(spark, docs).collect()
