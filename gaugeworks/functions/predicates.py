@@ -36,7 +36,9 @@ def predicate(column: Column, kind: DataType, op: str, value) -> Column:
     if op in ("in", "equals") and len(many) != 1:
         return column.isin([lit(v) for v in many])
     if op == "notEquals":
-        return column.isNull() | ~column.isin([lit(v) for v in many])
+        given = [v for v in many if v is not None]
+        others = ~column.isin([lit(v) for v in given]) if given else F.lit(True)
+        return column.isNotNull() & others if len(given) < len(many) else column.isNull() | others
     if op == "like":
         return column.like(many[0])
     if op == "contains":
@@ -46,6 +48,8 @@ def predicate(column: Column, kind: DataType, op: str, value) -> Column:
         return (column >= lit(start)) & ((column < after(end)) if moment and _is_day(end) else column <= lit(end))
     if op in ("beforeDate", "beforeOrOnDate", "afterDate", "afterOrOnDate"):
         op = {"beforeDate": "<", "beforeOrOnDate": "<=", "afterDate": ">", "afterOrOnDate": ">="}[op]
+    if len(many) != 1:
+        raise ModelError(f"{op} takes one value, not {len(many)}")
     one = many[0]
     if moment and _is_day(one):
         if op in ("=", "equals", "in"):
@@ -71,4 +75,4 @@ def window(column: Column, kind: DataType, start: str, end: str) -> Column:
 def bucket(column: Column, grain: str) -> Column:
     """Start of the grain's period; a date from day upwards."""
     out = F.date_trunc(grain, column)
-    return out if grain in ("hour", "minute") else out.cast(DateType())
+    return out if grain in ("hour", "minute", "second") else out.cast(DateType())

@@ -38,21 +38,32 @@ class Metric:
     snapshot: str = "last"
     clock: str = ""
     must_pin: tuple[str, ...] = ()
+    any_in_window: bool = False
+    weight: str = ""
 
 
 @dataclass(frozen=True)
 class Join:
-    """A declared join to another entity on pairs of members (own, other)."""
+    """A declared join to another entity on pairs of members (own, other), or triples with an operator between.
+
+    With a role the other entity is joined once more under that name, and its members are `role.member`.
+    """
 
     to: str
-    on: tuple[tuple[str, str], ...]
+    on: tuple[tuple[str, ...], ...]
     relationship: str = ""
     how: str = "left"
+    role: str = ""
 
 
 @dataclass(frozen=True)
 class Entity:
-    """A table: members by name as SQL expressions over its columns, and what is declared about it."""
+    """A table: members by name as SQL expressions over its columns, and what is declared about it.
+
+    clock_is_day: the clock means days, though moments may be stored. created_once: a row is written once, at
+    its clock, so without a window a level is read over the whole table. dates: members that are days; a level
+    grouped by one has a snapshot for each. definitions: named conditions.
+    """
 
     table: str
     members: dict[str, str]
@@ -60,6 +71,10 @@ class Entity:
     joins: tuple[Join, ...] = ()
     clock: str = ""
     population: str = ""
+    clock_is_day: bool = False
+    created_once: bool = False
+    dates: tuple[str, ...] = ()
+    definitions: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -69,6 +84,7 @@ class Request:
     metrics: tuple[str, ...] = ()
     dimensions: tuple[str, ...] = ()
     filters: tuple[Filter, ...] = ()
+    definitions: tuple[str, ...] = ()
     fields: tuple[str, ...] = ()
     grain: str = ""
     window: tuple[str, str] | None = None
@@ -85,6 +101,26 @@ _BACK = {"many_to_one": "one_to_many", "one_to_many": "many_to_one"}
 class Model:
     entities: dict[str, Entity]
 
+    def __post_init__(self):
+        """Entities that are joined under a role stand in the model under the role's name too."""
+        for entity in list(self.entities.values()):
+            for join in entity.joins:
+                if join.role:
+                    if join.role in self.entities and self.entities[join.role].table != self.entities[join.to].table:
+                        raise ModelError(f"the role {join.role} has the name of another entity")
+                    other = self.entities[join.to]
+                    self.entities[join.role] = Entity(other.table, other.members, joins=other.joins, population=other.population)
+
+    def definition(self, name: str, base: str) -> tuple[str, str]:
+        """(entity, condition) of a named definition, the base's before others'."""
+        entity, _, bare = name.rpartition(".")
+        owners = [e for e, x in self.entities.items() if bare in x.definitions and entity in ("", e)]
+        if base in owners:
+            return base, self.entities[base].definitions[bare]
+        if len(owners) != 1:
+            raise ModelError(f"definition {name} is {'ambiguous' if owners else 'unknown'}")
+        return owners[0], self.entities[owners[0]].definitions[bare]
+
     def member(self, name: str, base: str = "") -> tuple[str, str]:
         """(entity, member) of a qualified or bare name; a bare one is the base's, or must be one entity's only."""
         if "." in name:
@@ -94,7 +130,8 @@ class Model:
             return entity, member
         if base and name in self.entities[base].members:
             return base, name
-        owners = [e for e, x in self.entities.items() if name in x.members]
+        roles = {j.role for x in self.entities.values() for j in x.joins} - {""}
+        owners = [e for e, x in self.entities.items() if name in x.members and e not in roles]
         if len(owners) != 1:
             raise ModelError(f"{name} is {'ambiguous: ' + ', '.join(owners) if owners else 'unknown'}")
         return owners[0], name
@@ -124,7 +161,8 @@ class Model:
             here = queue.pop(0)
             for name, entity in self.entities.items():
                 for join in entity.joins:
-                    for a, b, forwards in ((name, join.to, True), (join.to, name, False)):
+                    to = join.role or join.to
+                    for a, b, forwards in ((name, to, True), (to, name, False)):
                         if a == here and b not in seen:
                             seen[b] = [*seen[a], (name, join, forwards)]
                             queue.append(b)

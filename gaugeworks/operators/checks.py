@@ -20,6 +20,55 @@ def grain(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def grain_verdict(df: DataFrame, key: list[str], declared: str = "") -> DataFrame:
+    """grain's counts with a verdict: one_per_key, repeats, contradicts (declared one per key, but repeats) or unverified (no rows)."""
+    repeats = F.lit("contradicts" if declared == "one_per_key" else "repeats")
+    verdict = F.when(F.col("rows") == 0, "unverified").when(F.col("keys") == F.col("rows"), "one_per_key").otherwise(repeats)
+    return grain(df, key).withColumn("verdict", verdict)
+
+
+def cardinality_verdict(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], declared: str) -> DataFrame:
+    """cardinality's row with a verdict on the declared relationship: ok, wrong (another, and no more rows), unsafe (rows may multiply) or unreadable."""
+    out = cardinality(left, right, pairs)
+    claims_one = declared.endswith("_to_one")
+    verdict = (
+        F.when(F.expr("left_most = 0 or right_most = 0"), "unreadable")
+        .when(F.lit(claims_one) & (F.col("right_most") > 1), "unsafe")
+        .when(F.col("relationship") == declared, "ok")
+        .when(F.lit(declared == "many_to_one") & (F.col("relationship") == "one_to_one"), "ok")
+        .otherwise("wrong")
+    )
+    return out.withColumn("declared", F.lit(declared)).withColumn("verdict", verdict)
+
+
+def join_hypotheses(tables: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str, str, str]]:
+    """(table, column, other table, other column) pairs that may join: equal stems of key names and types of one family.
+
+    tables: per table its (column, type) pairs. A stem is the name without a prefix of one or two letters and
+    without key, id or code at its end.
+    """
+    family = {"int": "whole", "bigint": "whole", "smallint": "whole", "string": "text"}
+
+    def stem(name: str) -> str:
+        head, sep, rest = name.lower().partition("_")
+        name = rest if sep and len(head) <= 2 else name.lower()
+        for end in ("key", "_id", "id", "_code", "code"):
+            if name.endswith(end) and len(name) > len(end):
+                return name.removesuffix(end).rstrip("_")
+        return ""
+
+    keys = [(t, c, stem(c), family.get(kind, "")) for t, cols in sorted(tables.items()) for c, kind in cols]
+    keys = [k for k in keys if k[2] and k[3]]
+    return [(a[0], a[1], b[0], b[1]) for i, a in enumerate(keys) for b in keys[i + 1 :] if a[0] != b[0] and a[2:] == b[2:]]
+
+
+def join_warning(many: DataFrame, many_key: str, one: DataFrame, one_key: str) -> DataFrame:
+    """One row: estimated distinct keys of either side; suspect if the many side has clearly fewer than the one side."""
+    a = many.agg(F.approx_count_distinct(many_key, 0.01).alias("many_keys"))
+    out = a.crossJoin(one.agg(F.approx_count_distinct(one_key, 0.01).alias("one_keys")))  # one row each
+    return out.withColumn("suspect", F.col("many_keys") * 1.05 < F.col("one_keys"))
+
+
 def cardinality(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """One row: most rows of one key on either side, and the relationship that follows; null keys count nowhere."""
 
@@ -46,17 +95,20 @@ def conservation(base: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def drift(old: DataFrame, new: DataFrame, key: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
-    """Keys whose value differs by more than the tolerance (as a share of the old one), appeared or vanished."""
+    """Keys whose value differs by more than the tolerance (as a share of the old one), appeared or vanished.
+
+    A null on one side only differs.
+    """
     a = old.select(*key, F.col(value).alias("was"), F.lit(True).alias("in_old"))
     b = new.select(*key, F.col(value).alias("now"), F.lit(True).alias("in_new"))
     both = a.join(b, key, "full")
-    far = F.abs(F.col("now") - F.col("was")) > F.abs(F.col("was")) * tolerance
+    far = F.coalesce(F.abs(F.col("now") - F.col("was")) > F.abs(F.col("was")) * tolerance, ~F.col("now").eqNullSafe(F.col("was")))
     kind = F.when(F.col("in_old").isNull(), "appeared").when(F.col("in_new").isNull(), "vanished").when(far, "changed")
     return both.withColumn("kind", kind).where("kind is not null").select(*key, "was", "now", "kind")
 
 
 def same_rows(a: DataFrame, b: DataFrame, places: int = 6) -> bool:
-    """Whether two results have the same rows, as often, with numbers rounded."""
+    """Whether two results have the same rows, as often, with numbers rounded; results.unmatched compares with a tolerance."""
 
     def rounded(df: DataFrame) -> DataFrame:
         return df.select(*[F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -72,9 +124,9 @@ def top_with_ties(df: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: list[str], version: Column) -> DataFrame:
-    """The row of each key with the largest version, pre-aggregated; of equal versions one."""
+    """The row of each key with the largest version, pre-aggregated; of equal versions one; a null version is the smallest."""
     rest = [c for c in df.columns if c not in key]
-    got = df.groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("row"))
+    got = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(version.isNotNull(), version)).alias("row"))
     return got.select(*key, "row.*")
 
 

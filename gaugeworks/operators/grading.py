@@ -106,6 +106,79 @@ def route(df: DataFrame, lens: str, column: str, vector: list[float]) -> DataFra
     return best.join(F.broadcast(top)).select(lens, "best", ((F.col("best") == first) & sure).alias("routed"))
 
 
+def own_anchors(df: DataFrame, lens: str, text: str) -> DataFrame:
+    """Anchors whose text belongs to one lens only; shared ones tell nothing about where to go."""
+    shared = df.groupBy(text).agg(F.count_distinct(lens).alias("lenses")).where("lenses > 1").select(text)
+    return df.join(shared, text, "left_anti")
+
+
+def cross_claims(df: DataFrame, lens: str, key: str, column: str, floor: float = 0.95) -> DataFrame:
+    """Per pair of lenses that claim nearly the same: the largest cosine of their anchors, at `floor` or above.
+
+    Anchors meet in cells of a few coordinates only, instead of all pairs: of unit vectors whose cosine is at
+    least `floor`, every coordinate differs by at most sqrt(2 - 2 * floor), so cells of that width and their
+    neighbours hold every pair. Cells are cut along the three coordinates that vary most over all anchors.
+    """
+    unit = F.expr(f"sqrt(aggregate(`{column}`, 0D, (s, x) -> s + double(x) * double(x)))")
+    rows = df.where(F.col(column).isNotNull()).withColumn("norm", unit).where("norm > 0")
+    rows = rows.select(F.col(lens).alias("lens"), F.col(key).alias("key"), F.expr(f"transform(`{column}`, x -> double(x) / norm)").alias("v"))
+    spread = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.stddev_pop("x").alias("sd"))
+    axes = [r["at"] for r in spread.orderBy(F.desc("sd"), "at").limit(3).collect()]
+    width = max((2 - 2 * floor) ** 0.5, 1e-9)
+    cell = F.struct(*[F.floor(F.get("v", F.lit(a)) / F.lit(width)).alias(f"c{i}") for i, a in enumerate(axes)]) if axes else F.struct(F.lit(0).alias("c0"))
+    left = rows.select("lens", "key", "v", cell.alias("cell"))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = left.select(F.col("lens").alias("lens_b"), F.col("v").alias("v_b"), "cell")
+    for i in range(len(axes)):
+        near = near.withColumn(f"s{i}", F.explode(steps))
+    moved = F.struct(*[(F.col(f"cell.c{i}") + F.col(f"s{i}")).alias(f"c{i}") for i in range(len(axes))]) if axes else F.col("cell")
+    near = near.select("lens_b", "v_b", moved.alias("cell"))
+    met = left.withColumnsRenamed({"lens": "lens_a", "v": "v_a"}).join(near, "cell").where("lens_a < lens_b and size(v_a) = size(v_b)")
+    cos = F.expr("aggregate(zip_with(v_a, v_b, (a, b) -> a * b), 0D, (s, x) -> s + x)")
+    return met.groupBy("lens_a", "lens_b").agg(F.max(cos).alias("cosine")).where(F.col("cosine") >= floor)
+
+
+def accuracy_trend(runs: DataFrame, lens: str, clock: str, score: str) -> DataFrame:
+    """Per lens: runs, the latest score, the one before it and the change; a run per lens and moment."""
+    w = W.partitionBy(lens).orderBy(F.desc(clock))
+    nth = runs.select(lens, clock, score, F.row_number().over(w).alias("nth"))
+    out = nth.groupBy(lens).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.max(F.when(F.col("nth") == 1, F.col(score))).alias("latest"),
+        F.max(F.when(F.col("nth") == 2, F.col(score))).alias("before"),
+    )
+    return out.withColumn("change", F.col("latest") - F.col("before"))
+
+
+def split_accuracy(cases: DataFrame, split: str, covered: str, correct: str) -> DataFrame:
+    """Per part of a split: cases, the share that was answered, and of those the share that was right."""
+    per = cases.groupBy(split).agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if(F.col(covered)).alias("answered"), F.count_if(F.col(covered) & F.col(correct)).alias("right")
+    )
+    ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return per.select(split, "cases", ratio("answered", "cases").alias("coverage"), ratio("right", "answered").alias("accuracy"))
+
+
+def rewritten(df: DataFrame, column: str, literals: list[str], aliases: dict[str, str] = {}) -> DataFrame:
+    """Per literal the one value of the column that it names, case and blanks aside or by an alias; null if none or several."""
+    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    low = F.lower(F.trim("value"))
+    each = []
+    for x in literals:
+        names = [x.strip().lower()] + [v.strip().lower() for a, v in aliases.items() if a.strip().lower() == x.strip().lower()]
+        hit = F.when(low.isin(names), F.col("value"))
+        each.append(F.struct(F.lit(x).alias("literal"), F.coalesce(F.max(F.when(F.col("value") == x, F.col("value"))), F.when(F.count(hit) == 1, F.max(hit))).alias("value")))
+    return values.agg(F.array(*each).alias("t")).select(F.inline("t"))
+
+
+def coverage_gaps(asked: DataFrame, name: str, governed: DataFrame, metric: str) -> DataFrame:
+    """Names that were asked for and that no governed metric has, by the same name or by the same words in any order."""
+    words = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.trim(c)), r"[^\p{L}\p{N}]+"))), " ")
+    counts = asked.groupBy(F.lower(F.trim(name)).alias("name")).agg(F.count(F.lit(1)).alias("asked"))
+    counts = counts.withColumn("words", words("name"))
+    return counts.join(governed.select(words(metric).alias("words")).distinct(), "words", "left_anti").drop("words")
+
+
 def unknown_literals(df: DataFrame, column: str, literals: list[str]) -> DataFrame:
     """Per literal that a column's values lack: the value nearest by edits, and how many; one pass over the values."""
     values = df.select(F.col(column).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.lit(1).alias("one"))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # When a profile is sampled, and what counts as few values.
 EXACT_ROWS, SAMPLE_ROWS, FEW_VALUES = 1_000_000, 10_000, 25
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-# Shapes that texts of a column may have, first match wins.
-SHAPES = {
-    "json-object": r"^\s*\{.*\}\s*$",
-    "json-array": r"^\s*\[.*\]\s*$",
-    "point": r"^\(?\s*-?[0-9]+(\.[0-9]+)?\s*,\s*-?[0-9]+(\.[0-9]+)?\s*\)?$",
-    "numeric-text": r"^-?[0-9]+(\.[0-9]+)?$",
-    "date-text": r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$",
-}
+
+
+def _shape_tests(text: Column) -> dict[str, Column]:
+    """Whether a text has a shape, the narrowest shapes first."""
+    clean = F.trim(text)
+    json = F.try_parse_json(clean)
+    halves = F.split(F.regexp_replace(clean, r"^\(|\)$", ""), ",")
+    number = lambda x: F.trim(x).try_cast("double").isNotNull() & ~F.lower(F.trim(x)).rlike("[a-z]")
+    day = F.when(F.length(clean) == 7, F.concat(clean, F.lit("-01"))).otherwise(clean)
+    return {
+        "json-object": json.isNotNull() & clean.startswith("{"),
+        "json-array": json.isNotNull() & clean.startswith("["),
+        "point": (F.size(halves) == 2) & number(halves[0]) & number(F.get(halves, F.lit(1))),
+        "numeric-text": number(clean),
+        "date-text": clean.rlike(r"^\d{4}-\d{2}") & day.try_cast("timestamp").isNotNull(),
+    }
 
 
 def _named(row: DataFrame, columns: list[str], kept: tuple[str, ...], facts: tuple[str, ...]) -> DataFrame:
@@ -73,13 +81,13 @@ def column_stats(
 
 
 def value_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The shape that all texts of a column share (text: none), told from two or more texts."""
+    """The shape that all texts of a column share (text: none), told from two or more texts; blank texts tell nothing."""
     facts = []
     for c in columns:
-        text = F.col(f"`{c}`")
+        text = F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.col(f"`{c}`").cast("string"))
         shape = F.lit("text")
-        for name, pattern in reversed(SHAPES.items()):
-            shape = F.when(F.min(text.rlike(pattern)), name).otherwise(shape)
+        for name, test in reversed(_shape_tests(text).items()):
+            shape = F.when(F.min(F.when(text.isNotNull(), F.coalesce(test, F.lit(False)))), name).otherwise(shape)
         facts += [F.count(text).alias(f"{c}|texts"), F.when(F.count(text) >= 2, shape).alias(f"{c}|shape")]
     return _named(df.agg(*facts), columns, (), ("texts", "shape"))
 
@@ -128,13 +136,55 @@ def impact(findings: DataFrame, references: DataFrame) -> DataFrame:
     return out.withColumn("breaking", F.col("assets").isNotNull() & F.col("kind").isin("dropped", "retyped"))
 
 
-def downstream(edges: DataFrame, start: str) -> DataFrame:
-    """All tables that (source, target) edges of an acyclic lineage lead to from one table."""
-    return edges.sparkSession.sql(
-        """with recursive reached(name) as (
-          select target from {edges} where source = :start
-          union all select e.target from {edges} e join reached r on e.source = r.name)
-        select distinct name from reached""",
-        args={"start": start},
-        edges=edges,
+def downstream(edges: DataFrame, start: str, most: int = 64) -> DataFrame:
+    """All tables that (source, target) edges of a lineage lead to from one table, in up to `most` steps.
+
+    Every step adds the targets that are new, so a cycle ends where it closes. Lineage is small: one row per edge.
+    """
+    known = edges.where(F.col("source") == start).select(F.col("target").alias("name")).distinct()
+    size = -1
+    for _ in range(most):
+        known = edges.sparkSession.createDataFrame(known.collect(), "name string")
+        if (now := known.count()) == size:
+            break
+        size = now
+        known = known.union(edges.join(known, edges["source"] == known["name"], "left_semi").select("target")).distinct()
+    return known
+
+
+def tables_changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Tables added, dropped or with another comment, between two frames of (table, comment)."""
+    both = old.select("table", F.col("comment").alias("was"), F.lit(True).alias("o")).join(
+        new.select("table", F.col("comment").alias("now"), F.lit(True).alias("n")), "table", "full"
     )
+    kind = F.when(F.expr("o is null"), "added").when(F.expr("n is null"), "dropped").when(~F.col("was").eqNullSafe(F.col("now")), "comment_changed")
+    return both.withColumn("kind", kind).where("kind is not null").select("table", "kind")
+
+
+def dictionary(df: DataFrame, column: str, most: int = 25) -> DataFrame:
+    """One row: up to `most` values by frequency, their digest, and whether that is all of them."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "value").limit(most + 1).agg(F.array_sort(F.collect_list("value")).alias("v"), F.count(F.lit(1)).alias("found"))
+    out = top.withColumn("complete", F.col("found") <= most).withColumn("values", F.when(F.col("complete"), F.col("v")))
+    return out.select("values", "complete", F.sha2(F.concat_ws("\n", "values"), 256).alias("digest"))
+
+
+def as_of(stamps: DataFrame, today: str) -> DataFrame:
+    """One row: the oldest last day among the tables of (table, last_day) that have one, not after today."""
+    return stamps.agg(F.least(F.min("last_day"), F.lit(today).cast("date")).alias("as_of"))
+
+
+def date_coverage(df: DataFrame, clock: str, start: str, end: str) -> DataFrame:
+    """One row: the measured span, and whether [start, end) lies wholly outside it."""
+    row = df.agg(F.min(clock).cast("date").alias("first_day"), F.max(clock).cast("date").alias("last_day"))
+    outside = (F.lit(end).cast("date") <= F.col("first_day")) | (F.lit(start).cast("date") > F.col("last_day"))
+    return row.withColumn("outside", F.coalesce(outside, F.lit(True)))
+
+
+def name_matches(known: list[str], pattern: str) -> list[str]:
+    """Names whose trailing parts, or as many as the pattern has, match it (* and ? allowed), case aside."""
+    from fnmatch import fnmatchcase
+
+    parts = pattern.lower().split(".")
+    tail = lambda name: name.lower().split(".")[-len(parts) :]
+    return [k for k in known if len(tail(k)) == len(parts) and all(fnmatchcase(a, b) for a, b in zip(tail(k), parts))]

@@ -21,16 +21,38 @@ def _months(start: date, end: date) -> int | None:
 
 def _shift(day: date, months: int) -> date:
     at = day.year * 12 + day.month - 1 + months
-    return date(at // 12, at % 12 + 1, day.day)
+    last = (date((at + 1) // 12, (at + 1) % 12 + 1, 1) - timedelta(days=1)).day
+    return date(at // 12, at % 12 + 1, min(day.day, last))
+
+
+def _named_period(text: str) -> tuple[date, date] | None:
+    """The window of YYYY or YYYY-MM."""
+    if len(text) == 4 and text.isdigit():
+        return date(int(text), 1, 1), date(int(text) + 1, 1, 1)
+    if len(text) == 7 and text[4] == "-" and text.replace("-", "").isdigit():
+        start = date(int(text[:4]), int(text[5:]), 1)
+        return start, _shift(start, 1)
+    return None
+
+
+def _whole(start: date, end: date, grain: str) -> bool:
+    """Whether a window is whole buckets of the grain."""
+    size = {"month": 1, "quarter": 3, "year": 12}.get(grain)
+    if size is None:
+        return True
+    months = _months(start, end)
+    return bool(months) and months % size == 0 and (start.month - 1) % size == 0
 
 
 def earlier(window: tuple[str, str], to: str, grain: str = "") -> tuple[tuple[str, str], str]:
     """The window that `to` names, and the interval by which its buckets move forward.
 
     to: previous_period (by months if the window is whole months, else by days), previous_year (364
-    days at week grain, so that weekdays meet), or an explicit "start/end".
+    days at week grain, so that weekdays meet), an explicit "start/end", a year YYYY or a month YYYY-MM.
     """
     start, end = (date.fromisoformat(x[:10]) for x in window)
+    if not _whole(start, end, grain):
+        raise ModelError(f"the window {start} to {end} is not whole {grain}s")
     if to == "previous_year":
         if grain == "week":
             step = timedelta(days=364)
@@ -44,6 +66,8 @@ def earlier(window: tuple[str, str], to: str, grain: str = "") -> tuple[tuple[st
         if grain in ("month", "quarter", "year") or grain == "week" and days % 7:
             raise ModelError(f"a window of {days} days is not whole {grain}s")
         return (str(start - timedelta(days=days)), str(start)), f"interval {days} days"
+    if (named := _named_period(to)) is not None:
+        to = f"{named[0]}/{named[1]}"
     a, sep, b = to.partition("/")
     if not sep:
         raise ModelError(f"unknown comparison {to}")

@@ -10,10 +10,12 @@ from __future__ import annotations
 import ast
 import operator
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from gaugeworks.functions.predicates import bucket, predicate, window
 from gaugeworks.model import Filter, Metric, Model, ModelError, Request, placeholders
@@ -25,6 +27,15 @@ def _col(entity: str, member: str) -> Column:
     return F.col(f"{entity}__{member}")
 
 
+_MEETS = {"=": Column.__eq__, ">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
+
+
+def _meets(a: Column, op: str, b: Column) -> Column:
+    if op not in _MEETS:
+        raise ModelError(f"a join has no operator {op}")
+    return _MEETS[op](a, b)
+
+
 class Plan:
     """One request over one model; `frame()` is its result."""
 
@@ -55,10 +66,13 @@ class Plan:
     def _check(self) -> None:
         r = self.request
         levels = {m.level for m in self.leaves.values()}
-        if len(levels) > 1:
+        if len(levels) > 1 and not self._weighted():
             raise ModelError("a level and a flow in one request: ask for them apart")
         if len({m.snapshot for m in self.leaves.values() if m.level}) > 1:
             raise ModelError("levels with different snapshots in one request")
+        labels = [x.rpartition(".")[2] for x in (*r.dimensions, *r.fields, *r.metrics)]
+        if len(labels) > len(set(labels)):
+            raise ModelError("two columns of one name: " + ", ".join(sorted({x for x in labels if labels.count(x) > 1})))
         if (r.grain or r.window) and not self.clock:
             raise ModelError(f"{self.base} has no clock")
         pinned = {self.model.member(f.member, self.base) for f in r.filters if f.op in ("=", "equals", "in") and _single(f.value)}
@@ -69,14 +83,23 @@ class Plan:
             if loose:
                 raise ModelError(f"{name} mixes values of {', '.join(loose)}: filter or group by it")
 
+    def _weighted(self) -> bool:
+        """Whether only ratios weighted by the period, which mix a flow and a level, are asked for."""
+        return bool(self.request.metrics) and all(self.model.metric(m)[1].weight for m in self.request.metrics)
+
     def _members(self) -> list[tuple[str, str]]:
         r = self.request
         names = [*r.dimensions, *r.fields, *(f.member for f in r.filters)]
         names += [f.member for m in self.leaves.values() for f in m.filters]
         names += [k for m in self.leaves.values() for k in m.keys]
         aliases = {*(m.rpartition(".")[2] for m in r.metrics), *(d.rpartition(".")[2] for d in (*r.dimensions, *r.fields)), self.bucket_name}
-        names += [o for o, _ in r.order if o not in aliases]
-        return [self.model.member(n, self.base) for n in names]
+        loose = [o for o, _ in r.order if o not in aliases]
+        if loose and not r.fields:
+            raise ModelError(f"order by what is asked for: {', '.join(loose)} is not")
+        return [self.model.member(n, self.base) for n in [*names, *loose]] + [(e, "") for e, _ in self._definitions()]
+
+    def _definitions(self) -> list[tuple[str, str]]:
+        return [self.model.definition(d, self.base) for d in self.request.definitions]
 
     @property
     def bucket_name(self) -> str:
@@ -85,6 +108,9 @@ class Plan:
     def _entity(self, name: str) -> DataFrame:
         entity = self.model.entities[name]
         cols = [F.expr(e).alias(f"{name}__{m}") for m, e in entity.members.items()]
+        for of, condition in self._definitions():
+            if of == name:
+                cols.append(F.expr(condition).alias(f"{name}__is {condition}"))
         if entity.population:
             cols.append(F.expr(entity.population).alias(f"{name}__population"))
         if name == self.base:
@@ -96,11 +122,12 @@ class Plan:
         df, have = self._entity(self.base), [self.base]
         for entity in dict.fromkeys(e for e, _ in self._members()):
             for owner, join, forwards in self.model.path(self.base, entity):
-                new = join.to if forwards else owner
+                to = join.role or join.to
+                new = to if forwards else owner
                 if new in have:
                     continue
                 have.append(new)
-                on = [_col(owner, a) == _col(join.to, b) for a, b in join.on]
+                on = [_meets(_col(owner, x[0]), x[1] if len(x) == 3 else "=", _col(to, x[-1])) for x in join.on]
                 df = df.join(self._entity(new), on, join.how)
         for entity in have:
             if self.model.entities[entity].population:
@@ -121,21 +148,38 @@ class Plan:
         if r.window and not lifted:
             df = df.where(self._in_window(df, self.clock))
         levels = [m for m in self.leaves.values() if m.level]
-        if levels:
+        mixed = len(levels) < len(self.leaves)
+        if levels and mixed:
+            snap = df.agg((F.min if levels[0].snapshot == "first" else F.max)(_col(self.base, self.clock)).alias("snapshot at"))
+            df = df.crossJoin(F.broadcast(snap))  # one row
+        elif levels and self._pinned(levels):
             df = self._at_snapshot(df, levels[0].snapshot)
         for f in r.filters:
             df = df.where(self._holds(df, f))
+        for entity, condition in self._definitions():
+            name = f"{entity}__is {condition}"
+            if df.schema[name].dataType != BooleanType():
+                raise ModelError(f"a definition is a condition, not a value: {condition}")
+            df = df.where(F.col(f"`{name}`"))
+        df = self._narrowed(df)
         keys = [_col(*self.model.member(d, self.base)).alias(d.rpartition(".")[2]) for d in r.dimensions]
         if r.grain:
             keys.insert(0, bucket(_col(self.base, self.clock), r.grain).alias(self.bucket_name))
         if r.fields or not r.metrics:
             fields = [_col(*self.model.member(x, self.base)).alias(x.rpartition(".")[2]) for x in r.fields]
-            return self.cut(df.select(*keys, *fields))
+            labels = {d.rpartition(".")[2] for d in (*r.dimensions, *r.fields)} | {self.bucket_name}
+            hidden = [(o, f"order by {o}") for o, _ in r.order if o not in labels]
+            rows = df.select(*keys, *fields, *[_col(*self.model.member(o, self.base)).alias(h) for o, h in hidden])
+            if not r.fields:
+                rows = rows.distinct()
+            return self.cut(rows, dict(hidden)).drop(*[h for _, h in hidden])
         named = [f"key__{k}" for k in range(len(keys))]
         df = df.select("*", *[k.alias(n) for k, n in zip(keys, named)])
         aggs = []
         for name, m in self.leaves.items():
             cond = [self._holds(df, f) for f in m.filters]
+            if m.level and mixed:
+                cond.append(_col(self.base, self.clock) == F.col("snapshot at"))
             if lifted:
                 cond.append(self._in_window(df, m.clock or self.clock))
             df, agg = self._leaf(df, name, m, cond, named)
@@ -165,6 +209,12 @@ class Plan:
 
     def _value(self, name: str) -> Column:
         entity, m = self.model.metric(name)
+        if m.agg == "ratio" and m.weight:
+            if self.request.window is None or self.request.grain:
+                raise ModelError(f"{name} needs a window with both ends and no grain: its level is weighted by the window's {m.weight}")
+            days = (date.fromisoformat(self.request.window[1][:10]) - date.fromisoformat(self.request.window[0][:10])).days
+            weight = days / 7.0 if m.weight == "weeks" else float(days)
+            return self._value(m.num).cast("double") / F.nullif(self._value(m.den).cast("double") * F.lit(weight), F.lit(0.0))
         if m.agg == "ratio":
             return self._value(m.num).cast("double") / F.nullif(self._value(m.den).cast("double"), F.lit(0.0))
         if m.agg == "derived":
@@ -181,17 +231,50 @@ class Plan:
         The request's other filters do not move the snapshot.
         """
         at = _col(self.base, self.clock)
+        if self.model.entities[self.base].clock_is_day:
+            at = at.cast("date")
         pick = (F.min if which == "first" else F.max)(at).alias("at")
-        if not self.request.grain:
+        own = [bucket(_col(self.base, self.clock), self.request.grain)] if self.request.grain else []
+        for d in self.request.dimensions:
+            entity, member = self.model.member(d, self.base)
+            if entity == self.base and member in self.model.entities[entity].dates and member != self.clock:
+                own.append(_col(entity, member))
+        if not own:
             return df.join(F.broadcast(df.agg(pick)), at == F.col("at")).drop("at")  # one row
-        own = bucket(at, self.request.grain)
-        snaps = df.groupBy(own.alias("of")).agg(pick)
-        return df.join(snaps, (own == F.col("of")) & (at == F.col("at"))).drop("of", "at")
+        names = [f"of {k}" for k in range(len(own))]
+        snaps = df.groupBy(*[c.alias(n) for c, n in zip(own, names)]).agg(pick)
+        on = at == F.col("at")
+        for c, n in zip(own, names):
+            on = on & (c == F.col(f"`{n}`"))
+        return df.join(snaps, on).drop(*names, "at")
+
+    def _pinned(self, levels: list[Metric]) -> bool:
+        """Whether levels are read at a snapshot: not those counted over any in a stated window, nor without a window where rows are written once."""
+        loose = {m.any_in_window and self.request.window is not None for m in levels}
+        if len(loose) > 1:
+            raise ModelError("levels with different window readings in one request")
+        if loose == {True}:
+            return False
+        return self.request.window is not None or bool(self.request.grain) or not self.model.entities[self.base].created_once
+
+    def _narrowed(self, df: DataFrame) -> DataFrame:
+        """df without the rows that no metric counts, if every group has a row of each metric's anyway: only for one total.
+
+        A filter that all metrics share then reaches the scan.
+        """
+        if self.request.grain or self.request.dimensions or not self.leaves:
+            return df
+        shared = set.intersection(*[set(map(repr, m.filters)) for m in self.leaves.values()])
+        for f in next(iter(self.leaves.values())).filters:
+            if repr(f) in shared:
+                df = df.where(self._holds(df, f))
+        return df
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, hidden: dict[str, str] = {}) -> DataFrame:
         r = self.request
         if r.order:
-            df = df.orderBy(*[F.col(f"`{o}`").desc_nulls_last() if d == "desc" else F.col(f"`{o}`").asc_nulls_last() for o, d in r.order])
+            by = [(F.col(f"`{hidden.get(o, o)}`"), d) for o, d in r.order]
+            df = df.orderBy(*[c.desc_nulls_last() if d == "desc" else c.asc_nulls_last() for c, d in by])
         if r.offset:
             df = df.offset(r.offset)
         return df if r.limit is None else df.limit(r.limit)

@@ -1,7 +1,12 @@
-"""Cube-style queries: measures, dimensions, time dimension, filters with string values."""
+"""Cube-style queries: measures, dimensions, time dimension, segments, filters with string values."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from dataclasses import replace
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +14,13 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.predicates import predicate
 from gaugeworks.model import Filter, Model, ModelError, Request
+from gaugeworks.plans.compare import _shift
 from gaugeworks.plans.compiler import Plan, Tables
 
 DEFAULT_LIMIT = 10_000
-KEYS = frozenset("measures dimensions timeDimensions filters order limit offset".split())
+KEYS = frozenset("measures dimensions timeDimensions filters segments order limit offset ungrouped".split())
 TIME_KEYS = frozenset("dimension granularity dateRange".split())
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def _refuse_unknown(given: dict, known: frozenset) -> None:
@@ -23,8 +30,96 @@ def _refuse_unknown(given: dict, known: frozenset) -> None:
         raise ModelError(f"cube query keys that are not built: {', '.join(unknown)}")
 
 
-def request_of(query: dict) -> Request:
-    """The request that a query means; nested boolean groups are applied by `run`."""
+def _start_of(day: date, unit: str) -> date:
+    if unit == "week":
+        return day - timedelta(days=day.weekday())
+    if unit in _MONTHS:
+        return date(day.year, (day.month - 1) // _MONTHS[unit] * _MONTHS[unit] + 1, 1)
+    return day
+
+
+def _plus(day: date, unit: str, n: int) -> date:
+    if unit in _MONTHS:
+        return _shift(day, n * _MONTHS[unit])
+    return day + timedelta(days=n * (7 if unit == "week" else 1))
+
+
+def date_range(given, today: date) -> tuple[str, str]:
+    """First and last day (both included) of a date range: two days, one day, or words.
+
+    Words: today, yesterday, this <unit>, last <unit>, last N <units>; units are day, week (from Monday), month,
+    quarter and year. `last N days` ends today; of longer units the last N are the whole ones before the current.
+    """
+    if isinstance(given, (list, tuple)):
+        if len(given) not in (1, 2):
+            raise ModelError("a date range has a first and a last day")
+        return str(given[0])[:10], str(given[-1])[:10]
+    text = str(given).strip().lower()
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+        return text, text
+    if text in ("today", "yesterday"):
+        day = today - timedelta(days=text == "yesterday")
+        return str(day), str(day)
+    found = re.fullmatch(r"(this|last)(?: (\d+))? (day|week|month|quarter|year)s?", text)
+    if not found or found[1] == "this" and found[2]:
+        raise ModelError(f"no date range: {given}")
+    unit, n = found[3], int(found[2] or 1)
+    if found[1] == "this":
+        start = _start_of(today, unit)
+        return str(start), str(_plus(start, unit, 1) - timedelta(days=1))
+    if unit == "day":
+        return (str(today - timedelta(days=n - 1)), str(today)) if found[2] else (str(today - timedelta(days=1)),) * 2
+    end = _start_of(today, unit)
+    return str(_plus(end, unit, -n)), str(end - timedelta(days=1))
+
+
+def canonical(query: dict, today: date | None = None) -> dict:
+    """The query with defaults written out, days in place of words, and what has no order sorted."""
+    today = today or date.today()
+    _refuse_unknown(query, KEYS)
+    times = []
+    for t in query.get("timeDimensions") or []:
+        _refuse_unknown(t, TIME_KEYS | {"compareDateRange"})
+        t = {k: v for k, v in t.items() if v}
+        if "dateRange" in t:
+            t["dateRange"] = list(date_range(t["dateRange"], today))
+        if "compareDateRange" in t:
+            t["compareDateRange"] = [list(date_range(x, today)) for x in t["compareDateRange"]]
+        times.append(t)
+    order = query.get("order") or {}
+    return {
+        "measures": sorted(query.get("measures", ())),
+        "dimensions": sorted(query.get("dimensions", ())),
+        "timeDimensions": sorted(times, key=json.dumps),
+        "filters": sorted((_canonical_filter(f) for f in query.get("filters", ())), key=json.dumps),
+        "segments": sorted(query.get("segments", ())),
+        "order": [list(x) for x in (order.items() if isinstance(order, dict) else order)],
+        "limit": query.get("limit", DEFAULT_LIMIT),
+        "offset": query.get("offset", 0),
+        "ungrouped": bool(query.get("ungrouped", False)),
+    }
+
+
+def _canonical_filter(f: dict) -> dict:
+    for word in ("and", "or"):
+        if word in f:
+            return {word: sorted((_canonical_filter(x) for x in f[word]), key=json.dumps)}
+    values = f.get("values")
+    values = values if values is None or f["operator"] == "inDateRange" else sorted(map(str, values))
+    return {"member": f["member"], "operator": f["operator"], "values": values}
+
+
+def identity(query: dict, today: date | None = None) -> str:
+    """SHA-256 of the canonical form: equal for queries that ask for the same."""
+    return hashlib.sha256(json.dumps(canonical(query, today), sort_keys=True).encode()).hexdigest()
+
+
+def request_of(query: dict, model: Model | None = None, today: date | None = None) -> Request:
+    """The request that a query means; nested boolean groups are applied by `run`.
+
+    A date range on the metrics' own clock is the request's window, so that levels are read inside it; on
+    another date it is a filter.
+    """
     _refuse_unknown(query, KEYS)
     times = query.get("timeDimensions") or []
     if len(times) > 1:
@@ -36,22 +131,35 @@ def request_of(query: dict) -> Request:
         for f in query.get("filters", [])
         if "member" in f
     )
-    if time.get("dateRange"):
-        if isinstance(time["dateRange"], str) or len(time["dateRange"]) != 2:
-            raise ModelError("a date range is a list of first and last day; relative ranges are not built")
-        start, end = time["dateRange"]
-        filters += (Filter(time["dimension"], "inDateRange", [start, end]),)
     order = query.get("order") or {}
     pairs = order.items() if isinstance(order, dict) else order
-    return Request(
+    members = (*query.get("dimensions", ()),)
+    plain = bool(query.get("ungrouped"))
+    if plain and query.get("measures"):
+        raise ModelError("an ungrouped query lists rows; measures do not go with it")
+    out = Request(
         metrics=tuple(query.get("measures", ())),
-        dimensions=tuple(query.get("dimensions", ())),
+        dimensions=() if plain else members,
+        fields=members if plain else (),
         filters=filters,
+        definitions=tuple(query.get("segments", ())),
         grain=time.get("granularity") or "",
         order=tuple((m.rpartition(".")[2], d) for m, d in pairs),
         limit=query.get("limit", DEFAULT_LIMIT),
         offset=query.get("offset", 0),
     )
+    if not time.get("dateRange"):
+        return out
+    start, end = date_range(time["dateRange"], today or date.today())
+    if model is not None and out.metrics and _is_clock(model, out, time["dimension"]):
+        return replace(out, window=(start, str(date.fromisoformat(end) + timedelta(days=1))))
+    return replace(out, filters=(*filters, Filter(time["dimension"], "inDateRange", [start, end])))
+
+
+def _is_clock(model: Model, request: Request, member: str) -> bool:
+    owners = {model.metric(o)[0] for m in request.metrics for o in model.operands(m)}
+    clocks = {model.metric(o)[1].clock or model.entities[model.metric(o)[0]].clock for m in request.metrics for o in model.operands(m)}
+    return len(owners) == len(clocks) == 1 and model.member(member, next(iter(owners))) == (next(iter(owners)), next(iter(clocks)))
 
 
 class _CubePlan(Plan):
@@ -60,11 +168,11 @@ class _CubePlan(Plan):
     def _members(self):
         return super()._members() + [self.model.member(m, self.base) for g in self.groups for m in _named(g)]
 
-    def joined(self) -> DataFrame:
-        df = super().joined()
+    def _narrowed(self, df: DataFrame) -> DataFrame:
+        """Boolean groups hold like other filters: after the snapshot, which they do not move."""
         for g in self.groups:
             df = df.where(self._group(df, g))
-        return df
+        return super()._narrowed(df)
 
     def _group(self, df: DataFrame, g: dict) -> Column:
         for word, fold in (("and", Column.__and__), ("or", Column.__or__)):
@@ -78,8 +186,11 @@ def _named(g: dict) -> list[str]:
     return [g["member"]] if "member" in g else [m for word in ("and", "or") for x in g.get(word, []) for m in _named(x)]
 
 
-def run(model: Model, tables: Tables, query: dict) -> DataFrame:
-    """The query's rows; with compareDateRange one query runs per range, its rows tagged with the range."""
+def run(model: Model, tables: Tables, query: dict, today: date | None = None) -> DataFrame:
+    """The query's rows; with compareDateRange one query runs per range, its rows tagged with the range.
+
+    Levels and flows in one query are read apart and meet on the dimensions.
+    """
     times = query.get("timeDimensions") or []
     if len(times) == 1 and times[0].get("compareDateRange"):
         if times[0].get("dateRange"):
@@ -87,9 +198,33 @@ def run(model: Model, tables: Tables, query: dict) -> DataFrame:
         rest = {k: v for k, v in times[0].items() if k != "compareDateRange"}
         frames = []
         for window in times[0]["compareDateRange"]:
+            window = date_range(window, today or date.today())
             frame = run(model, tables, query | {"timeDimensions": [rest | {"dateRange": window}]})
-            frames.append(frame.withColumn("compareDateRange", F.lit(" - ".join(str(day)[:10] for day in window))))
+            frames.append(frame.withColumn("compareDateRange", F.lit(" - ".join(window))))
         return reduce(DataFrame.unionByName, frames)
-    plan = _CubePlan(model, tables, request_of(query))
-    plan.groups = [f for f in query.get("filters", []) if "member" not in f]
-    return plan.frame()
+    request = request_of(query, model, today)
+    kinds: dict[bool, list[str]] = {}
+    for m in request.metrics:
+        kinds.setdefault(any(model.metric(o)[1].level for o in model.operands(m)), []).append(m)
+    groups = [f for f in query.get("filters", []) if "member" not in f]
+
+    def part(r: Request) -> _CubePlan:
+        plan = _CubePlan(model, tables, r)
+        plan.groups = groups
+        return plan
+
+    if len(kinds) < 2:
+        return part(request).frame()
+    bare = replace(request, order=(), limit=None, offset=0)
+    plans = [part(replace(bare, metrics=tuple(kinds[k]))) for k in (False, True)]
+    names = [[m.rpartition(".")[2] for m in kinds[k]] for k in (False, True)]
+    flows, levels = (p.frame() for p in plans)
+    keys = [c for c in flows.columns if c not in names[0]]
+    if not keys:
+        out = flows.crossJoin(levels)  # one row each
+    else:
+        levels = levels.withColumnsRenamed({k: f"level {k}" for k in keys})
+        out = flows.join(levels, [F.col(f"`{k}`").eqNullSafe(F.col(f"`level {k}`")) for k in keys], "full")
+        out = out.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(f"`level {k}`")) for k in keys})
+    out = out.select(*[F.col(f"`{c}`") for c in (*keys, *(m.rpartition(".")[2] for m in request.metrics))])
+    return plans[0].__class__(model, tables, replace(request, metrics=tuple(kinds[False]))).cut(out)

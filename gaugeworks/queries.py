@@ -226,15 +226,16 @@ _add(
 )
 _add(
     "monitor_partial_periods",
-    lambda t: monitor.partial_periods(
-        t("lineitem").groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("month"), "l_returnflag").agg(F.count("*").alias("n")),
-        "month", "n", ["l_returnflag"],
-    ).select("month", "l_returnflag", "n", "trailing_median", "history", "partial"),
-    """WITH m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
-    a AS (SELECT *, median(n) OVER w AS trailing_median, count(n) OVER w AS history, lag(n, 12) OVER (PARTITION BY l_returnflag ORDER BY month) AS y
+    lambda t: monitor.partial_periods(monitor.monthly(t("lineitem"), "l_shipdate", ["l_returnflag"]), "month", "value", ["l_returnflag"], "1998-08-15")
+    .select("month", "l_returnflag", F.col("value").alias("n"), "trailing_median", "history", "partial"),
+    """WITH g AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT l_returnflag, CAST(unnest(generate_series(min(month), (SELECT max(month) FROM g), INTERVAL 1 MONTH)) AS DATE) AS month FROM g GROUP BY 1),
+    m AS (SELECT month, l_returnflag, coalesce(n, 0) AS n FROM s LEFT JOIN g USING (l_returnflag, month)),
+    a AS (SELECT *, min(n) OVER (PARTITION BY l_returnflag ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low,
+      least(1.0, greatest(0, DATE '1998-08-15' - month + 1) / CAST(day(last_day(month)) AS DOUBLE)) AS part, median(n) OVER w AS trailing_median, count(n) OVER w AS history, lag(n, 12) OVER (PARTITION BY l_returnflag ORDER BY month) AS y
       FROM m WINDOW w AS (PARTITION BY l_returnflag ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
     b AS (SELECT *, lag(trailing_median, 12) OVER (PARTITION BY l_returnflag ORDER BY month) AS ym FROM a)
-    SELECT month, l_returnflag, n, trailing_median, history, coalesce(n < 0.7 * trailing_median AND history >= 6 AND trailing_median >= 20
+    SELECT month, l_returnflag, n, trailing_median, history, coalesce(n < 0.7 * trailing_median * part AND n < low AND history >= 6 AND trailing_median >= 20
       AND NOT coalesce(y < 0.7 * ym, false), false) AS partial FROM b""",
 )
 _add(

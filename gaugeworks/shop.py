@@ -51,7 +51,14 @@ MODEL = Model(
                 "last_day_revenue": Metric("sum", _MONEY.format("o_totalprice"), level=True),
                 "first_day_revenue": Metric("sum", _MONEY.format("o_totalprice"), level=True, snapshot="first"),
                 "segment_revenue": Metric("sum", _MONEY.format("o_totalprice"), must_pin=("segment",)),
+                "last_day_orders": Metric("count", level=True),
+                "load": Metric("ratio", num="orders", den="last_day_orders", weight="weeks"),
+                "seen_buyers": Metric("count_distinct", "o_custkey", level=True, any_in_window=True),
+                "urgent_revenue": Metric("sum", _MONEY.format("o_totalprice"), filters=(Filter("priority", "=", "1-URGENT"),)),
+                "urgent_orders": Metric("count", filters=(Filter("priority", "=", "1-URGENT"),)),
             },
+            clock_is_day=True,
+            definitions={"large": "o_totalprice > 200000", "unfinished": "o_orderstatus <> 'F'"},
         ),
         "customers": Entity(
             table="customer",
@@ -62,6 +69,7 @@ MODEL = Model(
         "suppliers": Entity(
             table="supplier",
             members={"supplier_id": "s_suppkey", "supplier": "s_name", "supplier_nation_id": "s_nationkey"},
+            joins=(Join("nations", (("supplier_nation_id", "nation_id"),), "many_to_one", role="supplier_nations"),),
             metrics={"suppliers": Metric("count")},
         ),
         "parts": Entity(

@@ -110,14 +110,15 @@ def test_cube_query_limits_and_orders(tables):
 @pytest.mark.parametrize(
     "more",
     [
+        {"renewQuery": True},
         {"segments": ["sales.big"]},
         {"ungrouped": True},
-        {"timeDimensions": [{"dimension": "sales.day", "compareDateRange": ["this month", "last month"]}]},
-        {"timeDimensions": [{"dimension": "sales.day", "dateRange": "last month"}]},
+        {"timeDimensions": [{"dimension": "sales.day", "dateRange": "some day"}]},
+        {"timeDimensions": [{"dimension": "sales.day", "zone": "UTC"}]},
     ],
 )
-def test_cube_query_refuses_what_is_not_built(tables, more):
-    with pytest.raises(ModelError, match="not built"):
+def test_cube_query_refuses_what_it_does_not_know(tables, more):
+    with pytest.raises(ModelError):
         run(MODEL, tables, {"measures": ["sales.sales"], "dimensions": ["sales.rep_id"]} | more)
 
 

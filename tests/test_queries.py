@@ -1,6 +1,6 @@
 import pytest
 
-from gaugeworks.report_queries import QUERIES, SQL
+from gaugeworks.result_queries import QUERIES, SQL
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
