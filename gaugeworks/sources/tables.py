@@ -35,3 +35,20 @@ def schema_of(df: DataFrame) -> list[tuple[str, str, bool]]:
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
     out = df.write.mode(mode).format(kind)
     (out.partitionBy(*partition_by) if partition_by else out).save(path)
+
+
+def ledger_window(df: DataFrame, clock: str, start: str, end: str, path: str) -> None:
+    """Requests of [start, end) in time order, as CSV files whose names keep the order."""
+    from pyspark.sql import functions as F
+
+    inside = (F.col(clock) >= F.lit(start).cast("timestamp")) & (F.col(clock) < F.lit(end).cast("timestamp"))
+    df.where(inside).orderBy(clock).write.mode("overwrite").option("header", True).csv(path)
+
+
+def catalog_facts(spark: SparkSession, table: str) -> dict[str, str]:
+    """What the catalog knows of a table without a scan: statistics, comment, partition columns, location."""
+    rows = spark.sql(f"describe table extended {table}").collect()
+    facts = {r["col_name"].strip(): (r["data_type"] or "").strip() for r in rows if r["col_name"]}
+    wanted = ("Statistics", "Comment", "Location", "Provider", "Created Time", "Type")
+    columns = [r["col_name"] for r in rows[: next((k for k, r in enumerate(rows) if not r["col_name"] or r["col_name"].startswith("#")), len(rows))]]
+    return {k: facts[k] for k in wanted if k in facts} | {"columns": ", ".join(columns)}
