@@ -4,7 +4,7 @@ Pages of one host are written by one program. One page of each host, chosen by h
 every page's DOM tree is aligned with its host's pivot by simple tree matching. A text leaf that is
 equal in the pivot's aligned leaf at most pages of the host is template; all other leaves fill slots.
 Slots inside navigation, adverts, forms, comments and the like, told by tag or by a whole word of class,
-id or role, are no content, but an article or main element that only words of its ancestors make so
+id or role, are no content, but an article or main element that only words of its ancestors, or a form around it, make so
 counts where it holds more text than all that is free without. Slots outside the articles, or else
 outside the main element, are no content where those inside hold most of the free text. What the
 remaining slots hold is the text.
@@ -39,7 +39,7 @@ DEPTH = 100
 #: Cells of one alignment table; longer child lists are split in two first.
 CELLS = 1_000_000
 
-SKIPPED = frozenset("script style template noscript iframe svg object canvas head title".split())
+SKIPPED = frozenset("script style template noscript iframe svg object canvas title".split())
 CHROME_TAGS = frozenset("nav footer aside form menu dialog button select textarea fieldset header".split())
 CHROME_WORDS = frozenset(
     """ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs
@@ -110,11 +110,12 @@ class _Builder(HTMLParser):
             return
         if tag == "br" or tag == "hr":
             self._break()
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in ("html", "head", "body"):
             return
         words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()}
         landmark = 2 if tag == "article" else 1 if tag == "main" or "main" in words and ("role", "main") in attrs else 0
-        chrome = 0 if landmark == 1 else 2 if tag in CHROME_TAGS else 0 if words.isdisjoint(CHROME_WORDS) else 1
+        chrome = 0 if words.isdisjoint(CHROME_WORDS) and tag != "form" else 1  # a form may be around the whole page
+        chrome = 0 if landmark == 1 else 2 if tag in CHROME_TAGS and tag != "form" else chrome
         if tag not in BLOCK_TAGS and not chrome:
             return
         self._break()
@@ -296,7 +297,7 @@ def equal_leaves(page: Node, pivot: Node, place: dict[int, int]) -> dict[int, in
     return out
 
 
-_ALIGNED = "page_id long, url string, host string, sig long, differs boolean, slots array<int>, texts array<string>"
+_ALIGNED = "page_id long, url string, host string, differs boolean, slots array<int>, texts array<string>"
 
 
 def _aligned_rows(batches):
@@ -305,7 +306,7 @@ def _aligned_rows(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 128):
             part = batch.slice(lo, 128)
-            sig, differs, place, texts = [], [], [], []
+            differs, place, texts = [], [], []
             for html, pivot in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
                 page = dom(html or "")
                 if pivot not in kept:
@@ -320,16 +321,14 @@ def _aligned_rows(batches):
                 differs.append(2 * sum(len(x.text) for x in own if id(x) in same) < total)
                 place.append([same.get(id(x), -1) for x in own])
                 texts.append([x.text for x in own])
-                sig.append(hash("\n".join(texts[-1])))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(k) for k in range(3)),
-                    pa.array(sig, pa.int64()),
                     pa.array(differs, pa.bool_()),
                     pa.array(place, pa.list_(pa.int32())),
                     pa.array(texts, pa.list_(pa.string())),
                 ],
-                names=["page_id", "url", "host", "sig", "differs", "slots", "texts"],
+                names=["page_id", "url", "host", "differs", "slots", "texts"],
             )
 
 

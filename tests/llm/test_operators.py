@@ -172,6 +172,22 @@ def test_chrome_words_do_not_take_the_article():
     assert page(f"<article>{main}</article><div class='related'><article>{card}</article></div>") == main
     assert page(f"<nav><article>{card}</article></nav><p>{main}</p>") == main
     assert page(f"<div><p>{main}</p><article>{card}</article></div>") == f"{main} {card}"
+    assert page(f"<form><nav>{card}</nav><article>{main}</article><p>{card}</p></form>") == main
+    assert page(f"<article>{main}<form>{card}</form><p class='long-form'>{card}</p></article>") == f"{main} {card}"
+    assert page(f"<html><head><title>t</title><style>x</style><body><article>{main}</article>") == main
+    assert page(f"<head><meta charset=utf-8><script>{card}</script></head><div class='layout with-sidebar'><article>{main}</article></div>") == main
+
+
+def test_hosts_beyond_the_broadcast_give_the_same_text(spark):
+    pages = [(k, f"http://h{k % 3}/{k}", PAGE.format(prose(k, 6), prose(k + 100, 40))) for k in range(45)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    near = sorted((r.page_id, r.text) for r in html_wrapper.main_text(spark, frame).collect())
+    old = html_wrapper.BROADCAST_BYTES
+    try:
+        html_wrapper.BROADCAST_BYTES = 0
+        assert sorted((r.page_id, r.text) for r in html_wrapper.main_text(spark, frame).collect()) == near
+    finally:
+        html_wrapper.BROADCAST_BYTES = old
 
 
 def test_copies_of_one_page_keep_their_text(spark):
