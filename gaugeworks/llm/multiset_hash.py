@@ -2,7 +2,8 @@
 
 A text is a multiset of paragraphs (its lines). Its fingerprint is a vector of 31-bit lanes:
 
-* lane 0 counts pieces; a piece is a sentence of a paragraph;
+* lane 0 counts pieces; a piece of a paragraph ends at a blank behind a full stop or the letter e, so pieces
+  have about five words and the same words give the same pieces wherever they stand;
 * 16 equality lanes sum, over the paragraphs, numbers hashed from the paragraph and the lane;
 * 128 likeness lanes count, over the pieces, one bit each of a 128-bit hash of the piece.
 
@@ -32,7 +33,7 @@ _NO_ID = -(2**63)
 def vector(text: str) -> Column:
     """The lanes of the text column named `text`, as array<int>."""
     paras = f"transform(split({text}, '\\n', -1), p -> named_struct('a', xxhash64(p, 1), 'b', xxhash64(p, 2)))"
-    pieces = f"transform(split({text}, '\\n|(?<=[.!?]) ', -1), p -> named_struct('a', xxhash64(p, 3), 'b', xxhash64(p, 4)))"
+    pieces = f"transform(split({text}, '\\n|(?<=[e.!?]) ', -1), p -> named_struct('a', xxhash64(p, 3), 'b', xxhash64(p, 4)))"
     sums = [
         f"aggregate(h.paras, 0L, (s, x) -> (s + (xxhash64(x.a, x.b, {j}) & {_MOD - 1})) & {_MOD - 1})" for j in range(EQUALITY)
     ]
