@@ -10,10 +10,11 @@ each is a run itself, and those inside a longer run cover all of its lines: a li
 forward leaves the longer run is covered by the shortest run that ends with it.
 
 A first pass counts 64-bit hashes of the shortest runs. A Bloom filter of the repeated ones, of at most
-FILTER_BITS bits, lets a second pass over the texts send out a 128-bit BLAKE2b digest of the bytes of
-(nearly) these alone; runs of equal digest are equal, and what passes the filter wrongly finds no
-partner. A run that very many documents share is one key of a plain join, which Spark splits. Texts are
-dealt by document once, to lose their lines.
+FILTER_BITS bits, lets a second pass over the texts send out the bytes of (nearly) these alone, with a
+128-bit BLAKE2b digest; what passes the filter wrongly finds no partner. Runs of one digest are compared
+byte by byte, by the smallest and the largest of them, which Spark aggregates before the shuffle; should
+they differ, all of them stay. A run that very many documents share is one key of a plain join, which
+Spark splits. Texts are dealt by document once, to lose their lines.
 
 Defined results: null text stays null, empty text stays empty, a text all of whose lines go becomes
 empty; a line that repeats between different neighbours is no run and stays; rows with equal id and text
@@ -36,7 +37,9 @@ from gaugeworks.llm.workspace import Workspace, row_key
 
 MIN_LINES, MIN_BYTES = 2, 40
 FILTER_BITS = 2**27
-_RUNS = "k1 long, k2 long, first int, n int, d1 long, d2 long"
+#: Bytes of runs in one Arrow batch, about.
+BATCH_BYTES = 2**23
+_RUNS = "k1 long, k2 long, first int, n int, d1 long, d2 long, run binary"
 
 
 def chunk_lines(col: pa.Array):
@@ -86,15 +89,18 @@ def _run_rows(bits: np.ndarray):
                 part = batch.slice(lo, 1024)
                 data, off = column_bytes(part.column(2))
                 begin, row, first, n, size, h = _runs(data, off)
-                keep = np.flatnonzero(_passes(bits, h))
+                passing = np.flatnonzero(_passes(bits, h))
+                blocks = np.flatnonzero(np.diff(np.cumsum(size[passing]) // BATCH_BYTES)) + 1
                 view = memoryview(np.ascontiguousarray(data))
-                spans = zip(begin[keep].tolist(), (begin + size)[keep].tolist())
-                digests = b"".join([hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in spans])
-                digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                at = pa.array(row[keep])
-                cols = [part.column(0).take(at), part.column(1).take(at)]
-                cols += [pa.array(x[keep].astype(np.int32)) for x in (first, n)] + [pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "first", "n", "d1", "d2"])
+                for keep in np.split(passing, blocks):
+                    spans = [view[a:z] for a, z in zip(begin[keep].tolist(), (begin + size)[keep].tolist())]
+                    digests = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in spans])
+                    digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    at = pa.array(row[keep])
+                    cols = [part.column(0).take(at), part.column(1).take(at)]
+                    cols += [pa.array(x[keep].astype(np.int32)) for x in (first, n)] + [pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)]
+                    cols.append(pa.array([bytes(x) for x in spans], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "first", "n", "d1", "d2", "run"])
 
     return run
 
@@ -138,6 +144,14 @@ def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, pa.int32())], names=["text", "gone"])
 
 
+def staying(found: DataFrame) -> DataFrame:
+    """(d1, d2, s) of the runs that stand more than once, all of the same bytes; s is the place where one stays."""
+    of = found.groupBy("d1", "d2").agg(
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "first")).alias("s"), F.min("run").alias("low"), F.max("run").alias("high")
+    )
+    return of.where("m > 1 and low = high").select("d1", "d2", "s")
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, counts: bool = True) -> DataFrame:
     """docs with repeated runs of lines taken out of `text`, and n_lines and removed_lines in front of its columns.
 
@@ -150,9 +164,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, counts: bool = True) -> Da
     repeated = work.cut(hashes.where("m > 1").select("h"), "repeated")
     found = work.cut(text.mapInArrow(_run_rows(_bloom(repeated)), _RUNS), "found")
     work.drop("repeated")
-    stays = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "first")).alias("s"))
-    stays = work.cut(stays.where("m > 1").drop("m"), "stays")
-    later = found.join(stays, ["d1", "d2"]).where("struct(k1, k2, first) <> s")
+    stays = work.cut(staying(found), "stays")
+    later = found.drop("run").join(stays, ["d1", "d2"]).where("struct(k1, k2, first) <> s")
     cuts = later.groupBy("k1", "k2").agg(F.collect_set(F.expr("shiftleft(bigint(first), 32) + n")).alias("cuts"))
     without = F.arrow_udf(_without, "struct<text string, gone int>")
     out = keyed.join(cuts, ["k1", "k2"], "left").withColumn("rest", without(F.col("doc.text").cast("string"), F.col("cuts")))
