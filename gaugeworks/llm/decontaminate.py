@@ -17,6 +17,8 @@ result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,8 @@ from gaugeworks.llm.textkernel import PUNCTUATION, column_bytes, mix64, span_has
 from gaugeworks.llm.workspace import Workspace, row_key
 
 WIDTH, RARE, THRESHOLD = 4, 8, 0.5
-#: n-grams (8 bytes each) up to which the benchmark's set goes to every task; beyond, it is joined.
-BROADCAST_GRAMS = 4_000_000
+#: The benchmark's n-grams (8 bytes each) go to the tasks in slices of about this many, with one pass over the texts each.
+SLICE_GRAMS = 4_000_000
 
 
 def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +70,8 @@ def _item_rows(width: int):
 _STRETCH = "k1 long, k2 long, doc_id long, at int, words array<long>, grams array<long>"
 
 
-def _stretches(wanted: np.ndarray | None, widths: list[int], reach: int):
-    """Stretches of words around n-grams in `wanted` (sorted; None: the whole text as one stretch)."""
+def _stretches(wanted: np.ndarray, widths: list[int], reach: int):
+    """Stretches of words around n-grams in `wanted` (sorted)."""
 
     def run(batches):
         for batch in batches:
@@ -80,7 +82,7 @@ def _stretches(wanted: np.ndarray | None, widths: list[int], reach: int):
                 found = []
                 for width in widths:
                     g = gram_hashes(h, width)
-                    pos = np.flatnonzero(_member(g, wanted)) if wanted is not None else np.arange(len(g))
+                    pos = np.flatnonzero(_member(g, wanted))
                     row = np.searchsorted(first, pos, side="right") - 1
                     ok = pos + width <= first[row + 1]
                     found.append((pos[ok], row[ok], g[pos[ok]]))
@@ -204,21 +206,25 @@ def leaks(
     longest, widths = facts.first()
     keyed = docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = grams.select("gram").distinct()
-    wanted = None
-    if known.count() <= BROADCAST_GRAMS:
-        wanted = np.sort(known.toArrow().column(0).to_numpy().view(np.uint64))
-    found = work.cut(keyed.mapInArrow(_stretches(wanted, sorted(widths) or [width], longest or 1), _STRETCH), "found")
-    hits = found.select("k1", "k2", "at", F.explode("grams").alias("gram"))
-    if wanted is None:
-        hits = hits.join(known, "gram")
+    slices = known.count() // SLICE_GRAMS + 1
+    passes = []
+    for k in range(slices):
+        part = known.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)
+        wanted = np.sort(part.toArrow().column(0).to_numpy().view(np.uint64))
+        stretch = _stretches(wanted, sorted(widths) or [width], longest or 1)
+        passes.append(keyed.mapInArrow(stretch, _STRETCH).withColumn("slice", F.lit(k)))
+    # Each hit lies in a stretch of its own slice, with all the words that an alignment over it can reach.
+    found = work.cut(reduce(DataFrame.union, passes), "found")
+    place = ["k1", "k2", "slice", "at"]
+    hits = found.select(*place, F.explode("grams").alias("gram"))
     cost = hits.select("k1", "k2", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("items"))
     cost = cost.join(shared, "gram").select("gram", (F.col("docs") * F.col("items")).alias("cost"))
     costs = grams.join(cost, "gram")
     middle = costs.groupBy("item_id").agg(F.percentile_approx("cost", 0.5).alias("middle"))
     seeds = work.cut(costs.join(middle, "item_id").where(f"cost <= {RARE} * middle").select("gram", "item_id"), "seeds")
-    pairs = hits.join(seeds, "gram").select("k1", "k2", "at", "item_id").distinct()
-    pairs = pairs.join(found.select("k1", "k2", "doc_id", "at", "words").dropDuplicates(["k1", "k2", "at"]), ["k1", "k2", "at"])
+    pairs = hits.join(seeds, "gram").select(*place, "item_id").distinct()
+    pairs = pairs.join(found.select(*place, "doc_id", "words").dropDuplicates(place), place)
     pairs = pairs.join(items.select("item_id", "item"), "item_id")
     scored = pairs.select("k1", "k2", "doc_id", "item_id", "at", "item", "words").mapInArrow(
         _align_rows(threshold), "k1 long, k2 long, doc_id long, item_id long, score double, start_word int, end_word int"

@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,31 @@ def test_line_dedup_takes_out_the_maximal_repeated_runs(spark):
     assert [got[k].n_lines - got[k].removed_lines for k in range(len(texts)) if want[k]] == [n for n, w in zip(kept, want) if w]
 
 
+def test_runs_of_one_digest_are_compared_byte_by_byte(spark):
+    """Runs that only their digest takes for equal stay."""
+    same, other = prose(31, 12) + "\n" + prose(32, 12), prose(33, 12) + "\n" + prose(34, 12)
+    text = pa.array([same, other, same])
+    everything = np.full(16, 2**64 - 1, np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), text], names=["k1", "k2", "text"])
+    rows = pa.Table.from_batches(line_dedup._run_rows(everything)([batch])).to_pylist()
+    assert [r["run"].decode() for r in rows] == [same, other, same]
+    assert rows[0]["d1"] == rows[2]["d1"] != rows[1]["d1"]
+    found = spark.createDataFrame([(1, 1, 0, 2, 5, 5, b"x"), (2, 2, 0, 2, 5, 5, b"y"), (3, 3, 0, 2, 6, 6, b"z"), (4, 4, 0, 2, 6, 6, b"z")], line_dedup._RUNS)
+    assert [r.d1 for r in line_dedup.staying(found).collect()] == [6]
+
+
+def test_leaks_are_the_same_in_slices(spark, docs, monkeypatch):
+    items = [(k, prose(900 + k, 30)) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100 + k, f"{prose(5 + k, 40)} {items[k][1]} {items[(k + 1) % 6][1]} {prose(60 + k, 40)}") for k in range(6)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = lambda: sorted(map(tuple, decontaminate.leaks(spark, more, bench).collect()))
+    whole = found()
+    assert len(whole) >= 12
+    monkeypatch.setattr(decontaminate, "SLICE_GRAMS", 40)
+    assert found() == whole
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [prose(k, 8) for k in range(60)]
     chunks = lambda text: set(zip(*[x.tolist() for x in line_dedup.chunk_lines(pa.array([text]))[4:]]))
