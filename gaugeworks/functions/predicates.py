@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,18 +18,28 @@ _COMPARE = {
 }
 
 
+_WALL_CLOCK = re.compile(r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?")
+
+
 def _is_day(value) -> bool:
     return isinstance(value, str) and len(value) == 10 and value[4] == value[7] == "-"
 
 
-def predicate(column: Column, kind: DataType, op: str, value) -> Column:
+def bound(value, kind: DataType, zone: str = "") -> Column:
+    """The value as a literal of the type; a wall-clock text beside zoned moments is one of the zone, if one is named."""
+    if zone and isinstance(kind, TimestampType) and isinstance(value, str) and _WALL_CLOCK.fullmatch(value):
+        return F.lit(f"{datetime.fromisoformat(value).isoformat(' ', 'microseconds')} {zone}").cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def predicate(column: Column, kind: DataType, op: str, value, zone: str = "") -> Column:
     """The condition `column op value`, the value cast to the column's type.
 
-    A day compared with a moment stands for the whole day.
+    A day compared with a moment stands for the whole day, in the zone if one is named.
     """
-    lit = lambda v: F.lit(v).cast(kind)
+    lit = lambda v: bound(v, kind, zone)
     many = list(value) if isinstance(value, (list, tuple)) else [value]
-    after = lambda v: (F.lit(v).cast("date") + F.expr("interval 1 day")).cast(kind)
+    after = lambda v: lit(str(date.fromisoformat(v) + timedelta(days=1)))
     moment = isinstance(kind, (TimestampType, TimestampNTZType))
     if op == "set":
         return column.isNotNull()
@@ -67,12 +79,14 @@ def predicate(column: Column, kind: DataType, op: str, value) -> Column:
     return _COMPARE[op](column, lit(one))
 
 
-def window(column: Column, kind: DataType, start: str, end: str) -> Column:
+def window(column: Column, kind: DataType, start: str, end: str, zone: str = "") -> Column:
     """start <= column < end."""
-    return (column >= F.lit(start).cast(kind)) & (column < F.lit(end).cast(kind))
+    return (column >= bound(start, kind, zone)) & (column < bound(end, kind, zone))
 
 
-def bucket(column: Column, grain: str) -> Column:
-    """Start of the grain's period; a date from day upwards."""
+def bucket(column: Column, grain: str, kind: DataType | None = None, zone: str = "") -> Column:
+    """Start of the grain's period, of the zone's wall clock for zoned moments; a date from day upwards."""
+    if zone and isinstance(kind, TimestampType):
+        column = F.convert_timezone(F.current_timezone(), F.lit(zone), column.cast("timestamp_ntz"))
     out = F.date_trunc(grain, column)
     return out if grain in ("hour", "minute", "second") else out.cast(DateType())

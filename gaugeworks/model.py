@@ -62,7 +62,8 @@ class Entity:
 
     clock_is_day: the clock means days, though moments may be stored. created_once: a row is written once, at
     its clock, so without a window a level is read over the whole table. dates: members that are days; a level
-    grouped by one has a snapshot for each. definitions: named conditions.
+    grouped by one has a snapshot for each. definitions: named conditions. labels: members that only name another
+    one; who groups by a label groups by its key too.
     """
 
     table: str
@@ -75,6 +76,7 @@ class Entity:
     created_once: bool = False
     dates: tuple[str, ...] = ()
     definitions: dict[str, str] = field(default_factory=dict)
+    labels: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,10 @@ _BACK = {"many_to_one": "one_to_many", "one_to_many": "many_to_one"}
 
 @dataclass(frozen=True)
 class Model:
+    """Entities by name; timezone: that of days and wall clocks in requests, beside moments stored with a zone."""
+
     entities: dict[str, Entity]
+    timezone: str = ""
 
     def __post_init__(self):
         """Entities that are joined under a role stand in the model under the role's name too."""
@@ -109,7 +114,7 @@ class Model:
                     if join.role in self.entities and self.entities[join.role].table != self.entities[join.to].table:
                         raise ModelError(f"the role {join.role} has the name of another entity")
                     other = self.entities[join.to]
-                    self.entities[join.role] = Entity(other.table, other.members, joins=other.joins, population=other.population)
+                    self.entities[join.role] = Entity(other.table, other.members, joins=other.joins, population=other.population, labels=other.labels)
 
     def definition(self, name: str, base: str) -> tuple[str, str]:
         """(entity, condition) of a named definition, the base's before others'."""

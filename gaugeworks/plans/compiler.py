@@ -136,10 +136,13 @@ class Plan:
 
     def _holds(self, df: DataFrame, f: Filter) -> Column:
         entity, member = self.model.member(f.member, self.base)
-        return predicate(_col(entity, member), df.schema[f"{entity}__{member}"].dataType, f.op, f.value)
+        return predicate(_col(entity, member), df.schema[f"{entity}__{member}"].dataType, f.op, f.value, self.model.timezone)
 
     def _in_window(self, df: DataFrame, clock: str) -> Column:
-        return window(_col(self.base, clock), df.schema[f"{self.base}__{clock}"].dataType, *self.request.window)
+        return window(_col(self.base, clock), df.schema[f"{self.base}__{clock}"].dataType, *self.request.window, self.model.timezone)
+
+    def _bucket(self, df: DataFrame) -> Column:
+        return bucket(_col(self.base, self.clock), self.request.grain, df.schema[f"{self.base}__{self.clock}"].dataType, self.model.timezone)
 
     def frame(self) -> DataFrame:
         r, df = self.request, self.joined()
@@ -164,7 +167,7 @@ class Plan:
         df = self._narrowed(df)
         keys = [_col(*self.model.member(d, self.base)).alias(d.rpartition(".")[2]) for d in r.dimensions]
         if r.grain:
-            keys.insert(0, bucket(_col(self.base, self.clock), r.grain).alias(self.bucket_name))
+            keys.insert(0, self._bucket(df).alias(self.bucket_name))
         if r.fields or not r.metrics:
             fields = [_col(*self.model.member(x, self.base)).alias(x.rpartition(".")[2]) for x in r.fields]
             labels = {d.rpartition(".")[2] for d in (*r.dimensions, *r.fields)} | {self.bucket_name}
@@ -173,6 +176,9 @@ class Plan:
             if not r.fields:
                 rows = rows.distinct()
             return self.cut(rows, dict(hidden)).drop(*[h for _, h in hidden])
+        for entity, member in [self.model.member(d, self.base) for d in r.dimensions]:
+            if member in self.model.entities[entity].labels:
+                keys.append(_col(entity, self.model.entities[entity].labels[member]))
         named = [f"key__{k}" for k in range(len(keys))]
         df = df.select("*", *[k.alias(n) for k, n in zip(keys, named)])
         aggs = []
@@ -234,7 +240,7 @@ class Plan:
         if self.model.entities[self.base].clock_is_day:
             at = at.cast("date")
         pick = (F.min if which == "first" else F.max)(at).alias("at")
-        own = [bucket(_col(self.base, self.clock), self.request.grain)] if self.request.grain else []
+        own = [self._bucket(df)] if self.request.grain else []
         for d in self.request.dimensions:
             entity, member = self.model.member(d, self.base)
             if entity == self.base and member in self.model.entities[entity].dates and member != self.clock:

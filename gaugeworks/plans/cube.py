@@ -20,6 +20,8 @@ from gaugeworks.plans.compiler import Plan, Tables
 DEFAULT_LIMIT = 10_000
 KEYS = frozenset("measures dimensions timeDimensions filters segments order limit offset ungrouped".split())
 TIME_KEYS = frozenset("dimension granularity dateRange".split())
+# Operators of requests by the words of cube queries.
+_WORDS = {"=": "equals", "in": "equals", "!=": "notEquals", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}
 _MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
@@ -156,6 +158,42 @@ def request_of(query: dict, model: Model | None = None, today: date | None = Non
     return replace(out, filters=(*filters, Filter(time["dimension"], "inDateRange", [start, end])))
 
 
+def cube_of(request: Request, time_dimension: str = "") -> dict:
+    """The cube query that means the request; time_dimension names its clock, for a grain or a window.
+
+    Refused for what cube queries cannot say: listings beside dimensions, and a window that does not end with a day.
+    """
+    if request.fields and request.dimensions:
+        raise ModelError("a cube query lists rows or groups them")
+    time: dict = {}
+    if request.grain or request.window:
+        if not time_dimension:
+            raise ModelError("a grain or a window needs the name of its time dimension")
+        time = {"dimension": time_dimension} | ({"granularity": request.grain} if request.grain else {})
+    if request.window:
+        start, end = request.window
+        if max(len(start), len(end)) > 10:
+            raise ModelError("a date range has whole days")
+        time["dateRange"] = [start, str(date.fromisoformat(end) - timedelta(days=1))]
+    filters = [
+        {"member": f.member, "operator": _WORDS.get(f.op, f.op)}
+        | ({} if f.op in ("set", "notSet") else {"values": _values(f)})
+        for f in request.filters
+    ]
+    given = {
+        "measures": list(request.metrics), "dimensions": list(request.fields or request.dimensions), "timeDimensions": [time] if time else [],
+        "filters": filters, "segments": list(request.definitions), "order": [list(o) for o in request.order], "offset": request.offset,
+        "ungrouped": bool(request.fields), "limit": request.limit,
+    }
+    return {k: v for k, v in given.items() if v or k == "limit"}
+
+
+def _values(f: Filter) -> list:
+    """The filter's values; unlike `!=`, notEquals lets null pass unless null is among its values."""
+    many = list(f.value) if isinstance(f.value, (list, tuple)) else [f.value]
+    return [*many, None] if f.op == "!=" else many
+
+
 def _is_clock(model: Model, request: Request, member: str) -> bool:
     owners = {model.metric(o)[0] for m in request.metrics for o in model.operands(m)}
     clocks = {model.metric(o)[1].clock or model.entities[model.metric(o)[0]].clock for m in request.metrics for o in model.operands(m)}
@@ -179,7 +217,7 @@ class _CubePlan(Plan):
             if word in g:
                 return reduce(fold, [self._group(df, x) for x in g[word]])
         entity, member = self.model.member(g["member"], self.base)
-        return predicate(F.col(f"{entity}__{member}"), df.schema[f"{entity}__{member}"].dataType, g["operator"], g.get("values"))
+        return predicate(F.col(f"{entity}__{member}"), df.schema[f"{entity}__{member}"].dataType, g["operator"], g.get("values"), self.model.timezone)
 
 
 def _named(g: dict) -> list[str]:

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from gaugeworks.model import Request
+from gaugeworks.model import Entity, Filter, Metric, Model, Request
 from gaugeworks.operators import checks, grading, monitor, profiling, results
 from gaugeworks.plans.compare import compare
 from gaugeworks.plans.compiler import answer
-from gaugeworks.plans.cube import run
+from gaugeworks.plans.cube import cube_of, run
+from gaugeworks.plans.readings import clipped, readings
 from gaugeworks.queries import _COMPARED, _MONEY, _REV, _ask
 from gaugeworks.report_queries import QUERIES, SQL, _add
 from gaugeworks.shop import MODEL
@@ -235,3 +236,53 @@ _add(
     lambda t: grading.rewritten(t("orders"), "o_orderpriority", ["1-urgent", "rush", "5-LOW", "nothing"], {"Rush": "1-URGENT"}),
     """SELECT * FROM (VALUES ('1-urgent', '1-URGENT'), ('rush', '1-URGENT'), ('5-LOW', '5-LOW'), ('nothing', NULL)) AS t(literal, value)""",
 )
+
+# What a request may mean.
+#: The events once more, their moments stored with a zone and asked for in another one.
+ZONED = Model(
+    {
+        "events": Entity(
+            table="events", members={"at": "CAST(concat(CAST(ts AS STRING), ' UTC') AS TIMESTAMP)", "event": "event_type"}, clock="at", metrics={"events": Metric("count")}
+        )
+    },
+    timezone="Asia/Kolkata",
+)
+_add(
+    "metric_zoned_window",
+    lambda t: answer(ZONED, t, Request(metrics=("events",), dimensions=("event",), grain="month", filters=(Filter("at", "<=", "2100-01-01"),), window=("1990-01-01", "2100-01-01"))),
+    """SELECT CAST(date_trunc('month', ts + INTERVAL '330 minutes') AS DATE) AS at_month, event_type AS event, count(*) AS events FROM events
+    WHERE ts + INTERVAL '330 minutes' >= TIMESTAMP '1990-01-01' AND ts + INTERVAL '330 minutes' < TIMESTAMP '2100-01-01' GROUP BY 1, 2""",
+)
+_ask(
+    "metric_grouped_by_label",
+    Request(metrics=("orders", "revenue"), dimensions=("customer",)),
+    f"SELECT c_name AS customer, count(*) AS orders, {_REV} AS revenue FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY c_name, c_custkey",
+)
+_add(
+    "cube_of_request",
+    lambda t: run(MODEL, t, cube_of(Request(metrics=("revenue", "orders"), dimensions=("priority",), filters=(Filter("status", "!=", "F"),), grain="month", window=YEAR), "ordered")),
+    f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ordered_month, o_orderpriority AS priority, {_REV} AS revenue, count(*) AS orders
+    FROM orders WHERE {_Y} AND o_orderstatus <> 'F' GROUP BY 1, 2""",
+)
+_add(
+    "metric_clipped_to_today",
+    lambda t: answer(MODEL, t, clipped(MODEL, t, Request(metrics=("revenue", "orders"), window=YEAR), "1996-06-30")),
+    f"SELECT {_REV} AS revenue, count(*) AS orders FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-07-01'",
+)
+_add(
+    "readings_compared",
+    lambda t: readings(
+        MODEL, t,
+        {
+            "all": Request(metrics=("revenue",), dimensions=("priority",)),
+            "known": Request(metrics=("revenue",), dimensions=("priority",), filters=(Filter("status", "in", ["F", "O", "P"]),)),
+            "large": Request(metrics=("revenue",), dimensions=("priority",), definitions=("large",)),
+        },
+        "all",
+    ),
+    f"""WITH a AS (SELECT o_orderpriority AS p, {_REV} AS v FROM orders GROUP BY 1),
+    b AS (SELECT 'known' AS reading, o_orderpriority AS p, {_REV} AS v FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 2
+    UNION ALL SELECT 'large', o_orderpriority, {_REV} FROM orders WHERE o_totalprice > 200000 GROUP BY 2)
+    SELECT reading, count(*) AS groups, count(CASE WHEN abs(a.v - b.v) > 0.005 * greatest(abs(a.v), abs(b.v)) THEN 1 END) AS differing,
+    count(CASE WHEN abs(a.v - b.v) > 0.005 * greatest(abs(a.v), abs(b.v)) THEN 1 END) = 0 AS alike FROM b JOIN a USING (p) GROUP BY 1""",
+)

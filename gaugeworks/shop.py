@@ -64,6 +64,7 @@ MODEL = Model(
             table="customer",
             members={"customer_id": "c_custkey", "customer": "c_name", "nation_id": "c_nationkey", "segment": "c_mktsegment", "balance": "c_acctbal"},
             joins=(Join("nations", (("nation_id", "nation_id"),), "many_to_one"),),
+            labels={"customer": "customer_id"},
             metrics={"customers": Metric("count"), "balance_total": Metric("sum", _MONEY.format("c_acctbal"))},
         ),
         "suppliers": Entity(
