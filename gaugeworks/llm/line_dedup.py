@@ -1,13 +1,14 @@
 """Line dedup by every repeated run of lines.
 
-A run is MIN_LINES or more consecutive lines of one text with MIN_BYTES or more bytes. A line goes if
-it lies in a run that also stands at an earlier place of the corpus (smaller id, then position), however
+A run is MIN_LINES or more consecutive lines of one text with MIN_BYTES or more bytes, or one line with
+MIN_ALONE or more: a passage that was written as one paragraph. A line goes if it lies in a run that also stands at an earlier place of the corpus (smaller id, then position), however
 long the run is and whatever surrounds it; so each line that goes has an equal line that stays.
 
 To find these lines, only the shortest runs are needed: for each line the shortest run that starts
 there, and the shortest that ends there. Whether a run is one of these depends on its own lines alone,
 each is a run itself, and those inside a longer run cover all of its lines: a line whose shortest run
-forward leaves the longer run is covered by the shortest run that ends with it.
+forward leaves the longer run is covered by the shortest run that ends with it. (MIN_ALONE is at least
+MIN_BYTES: lines that are too short together hold none that is long alone.)
 
 A first pass counts 64-bit hashes of the shortest runs. A Bloom filter of the repeated ones, of at most
 FILTER_BITS bits, lets a second pass over the texts send out the bytes of (nearly) these alone, with a
@@ -17,7 +18,7 @@ they differ, all of them stay. A run that very many documents share is one key o
 Spark splits. Texts are dealt by document once, to lose their lines.
 
 Defined results: null text stays null, empty text stays empty, a text all of whose lines go becomes
-empty; a line that repeats between different neighbours is no run and stays; rows with equal id and text
+empty; a shorter line that repeats between different neighbours is no run and stays; rows with equal id and text
 are one document (all stay or lose the same lines); a run that occurs twice inside one document, also
 overlapping itself, stays once; a null id counts as the smallest; columns of the input
 are kept as they are, whatever their names; an empty table gives an empty result.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.textkernel import column_bytes, span_hashes
 from gaugeworks.llm.workspace import Workspace, row_key
 
-MIN_LINES, MIN_BYTES = 2, 40
+MIN_LINES, MIN_BYTES, MIN_ALONE = 2, 40, 200
 FILTER_BITS = 2**27
 #: Bytes of runs in one Arrow batch, about.
 BATCH_BYTES = 2**23
@@ -64,6 +65,8 @@ def _runs(data: np.ndarray, off: np.ndarray):
     end = np.where(last, off[row + 1], brk[np.minimum(at, len(brk) - 1)] if len(brk) else off[row + 1])
     stop = np.maximum(np.searchsorted(end, start + MIN_BYTES), line + MIN_LINES - 1)
     begin = np.minimum(np.searchsorted(start, end - MIN_BYTES, "right") - 1, line - MIN_LINES + 1)
+    alone = end - start >= MIN_ALONE
+    stop, begin = np.where(alone, line, stop), np.where(alone, line, begin)
     forth, back = stop < line0[row + 1], begin >= line0[row]
     count = max(len(line), 1)
     both = np.unique(np.concatenate([line[forth] * count + stop[forth], begin[back] * count + line[back]]))

@@ -103,19 +103,19 @@ def test_repeated_line_chunks_go_and_one_stays(spark, docs):
 
 
 def brute_line_dedup(texts):
-    """Lines left of each text: what lies in a run of two lines and 40 bytes or more that stands earlier too goes."""
+    """Lines left of each text: what lies in a run that stands earlier too goes; a run has two lines and 40 bytes, or one line of 200, or more."""
     lines = [t.split("\n") for t in texts]
     seen = {}
     for d, ls in enumerate(lines):
         for a in range(len(ls)):
-            for z in range(a + 2, len(ls) + 1):
+            for z in range(a + 1, len(ls) + 1):
                 seen.setdefault(tuple(ls[a:z]), (d, a))
     goes = {
         (d, i)
         for d, ls in enumerate(lines)
         for a in range(len(ls))
-        for z in range(a + 2, len(ls) + 1)
-        if len("\n".join(ls[a:z])) >= 40 and seen[tuple(ls[a:z])] < (d, a)
+        for z in range(a + 1, len(ls) + 1)
+        if len("\n".join(ls[a:z])) >= (40 if z > a + 1 else 200) and seen[tuple(ls[a:z])] < (d, a)
         for i in range(a, z)
     }
     return ["\n".join(x for i, x in enumerate(ls) if (d, i) not in goes) for d, ls in enumerate(lines)]
@@ -130,6 +130,10 @@ def test_line_dedup_takes_out_the_maximal_repeated_runs(spark):
                 lo = r.randrange(size - 1) if k == 2 else 0
                 around = [[prose(r.randrange(10**6), 9) for _ in range(r.randrange(4))] for _ in range(2)]
                 texts.append("\n".join(around[0] + passage[lo:] + around[1]))
+    alone = (prose(40, 60) + " " * 200)[:200]  # the shortest line that is a run of its own
+    for k, line in enumerate([alone, alone[1:], alone, prose(41, 60), prose(41, 60), alone[1:]]):
+        texts.append("\n".join([prose(50 + k, 3), line, prose(60 + k, 1), "ab", prose(70 + k, 9)]))
+    texts += [alone, "x\n" + alone, "ab\n" + alone + "\ncd", "\n".join([alone] * 3), "zz\nab\n" + alone + "\ncd"]
     texts += ["\n".join([prose(8, 9)] * 5), prose(8, 9) + "\nother", "\n" * 60, "x\n" + "\n" * 60, "short\nrun", "short\nrun", ""]
     out = line_dedup.dedup_lines(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {row.doc_id: row for row in out.collect()}
