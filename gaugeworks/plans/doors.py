@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass, replace
 from datetime import date
@@ -142,3 +143,12 @@ def with_period(model: Model, request: Request, today: date) -> Request:
     end = date(today.year, today.month, 1)
     start = date(end.year - (end.month == 1), (end.month - 2) % 12 + 1, 1)
     return replace(request, window=(str(start), str(end)))
+
+
+def variants(request: Request, options: dict[str, list]) -> list[tuple[dict, Request]]:
+    """(options chosen, request) for each combination of the values given for a request's fields, to be run or compared."""
+    unknown = sorted(set(options) - set(Request.__dataclass_fields__))
+    if unknown:
+        raise ModelError(f"a request has no {', '.join(unknown)}")
+    chosen = [dict(zip(options, values)) for values in itertools.product(*options.values())]
+    return [(c, replace(request, **c)) for c in chosen]

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gaugeworks.model import Entity, Filter, Metric, Model, Request
-from gaugeworks.operators import checks, grading, monitor, profiling, results
+from gaugeworks.operators import checks, evidence, grading, monitor, profiling, results
 from gaugeworks.plans.compare import compare
 from gaugeworks.plans.compiler import answer
 from gaugeworks.plans.cube import cube_of, run
@@ -286,3 +286,42 @@ _add(
     SELECT reading, count(*) AS groups, count(CASE WHEN abs(a.v - b.v) > 0.005 * greatest(abs(a.v), abs(b.v)) THEN 1 END) AS differing,
     count(CASE WHEN abs(a.v - b.v) > 0.005 * greatest(abs(a.v), abs(b.v)) THEN 1 END) = 0 AS alike FROM b JOIN a USING (p) GROUP BY 1""",
 )
+
+# Evidence.
+_add(
+    "evidence_zero_result",
+    lambda t: evidence.zero_evidence(t("orders").where("o_orderstatus = 'X'").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("v")), ["n"], ["v"]),
+    "SELECT 1 AS rows, count(*) = 0 AND sum(o_totalprice) IS NULL AS zero FROM orders WHERE o_orderstatus = 'X'",
+)
+_add(
+    "evidence_literal_probe",
+    lambda t: evidence.literal_probe(t("orders"), {"o_orderstatus": ["F", "X"], "o_orderpriority": ["5-LOW"], "o_orderkey": ["1"]}).select(
+        "column", F.array_join("values", "|").alias("listed"), F.array_join("missing", "|").alias("missing"), "status"
+    ),
+    """SELECT 'o_orderstatus' AS "column", string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS listed, 'X' AS missing, 'missing' AS status FROM orders
+    UNION ALL SELECT 'o_orderpriority', string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority), '', 'present' FROM orders
+    UNION ALL SELECT 'o_orderkey', NULL, NULL, 'unresolved'""",
+)
+_add(
+    "evidence_creation_dated",
+    lambda t: evidence.creation_dated(t("lineitem"), ["l_orderkey", "l_linenumber"]),
+    """SELECT count(*) AS rows, greatest(count(DISTINCT l_orderkey), count(DISTINCT l_linenumber)) AS keys,
+    greatest(count(DISTINCT l_orderkey), count(DISTINCT l_linenumber)) >= count(*) AS creation_dated FROM lineitem""",
+)
+_add(
+    "result_latest_readings",
+    lambda t: evidence.latest_readings(t("orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")), ["o_orderpriority"], "day", "quarter"),
+    """SELECT o_orderpriority, CAST(date_trunc('quarter', day) AS DATE) AS bucket, max(day) AS day, max_by(n, day) AS n
+    FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1, 2""",
+)
+_add(
+    "result_measure_gaps",
+    lambda t: evidence.measure_gaps(
+        t("lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"], {"all": {}, "returned": {"l_returnflag": ["A", "R"]}}, [("1995-01-01", "1996-01-01"), ("1998-01-01", "1999-01-01")]
+    ),
+    """WITH e AS (SELECT l_returnflag AS f, l_linestatus AS s, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1, 2),
+    m AS (SELECT 'all' AS measure, d FROM e UNION ALL SELECT 'returned', d FROM e WHERE f IN ('A', 'R')),
+    w AS (SELECT * FROM (VALUES (DATE '1995-01-01', DATE '1996-01-01'), (DATE '1998-01-01', DATE '1999-01-01')) AS w(a, z))
+    SELECT measure, a AS start, z AS "end", count(*) AS feeds, count(CASE WHEN d >= a AND d < z - 1 THEN 1 END) AS ending_inside,
+    count(CASE WHEN d < a THEN 1 END) AS ending_before, min(d) AS earliest_end, count(*) > count(CASE WHEN d < a THEN 1 END) AS loaded FROM m, w GROUP BY 1, 2, 3""",
+)
