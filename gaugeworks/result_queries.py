@@ -11,6 +11,7 @@ from gaugeworks.operators import checks, evidence, grading, monitor, profiling,
 from gaugeworks.plans.compare import compare
 from gaugeworks.plans.compiler import answer
 from gaugeworks.plans.cube import cube_of, run
+from gaugeworks.plans.postchecks import post_checks
 from gaugeworks.plans.readings import clipped, readings
 from gaugeworks.queries import _COMPARED, _MONEY, _REV, _ask
 from gaugeworks.report_queries import QUERIES, SQL, _add
@@ -325,3 +326,14 @@ _add(
     SELECT measure, a AS start, z AS "end", count(*) AS feeds, count(CASE WHEN d >= a AND d < z - 1 THEN 1 END) AS ending_inside,
     count(CASE WHEN d < a THEN 1 END) AS ending_before, min(d) AS earliest_end, count(*) > count(CASE WHEN d < a THEN 1 END) AS loaded FROM m, w GROUP BY 1, 2, 3""",
 )
+_add(
+    "answer_post_checks",
+    lambda t: post_checks(MODEL, t, Request(metrics=("lines",), dimensions=("return_flag", "line_status"), order=(("lines", "desc"),), limit=1, window=("1998-06-01", "2030-01-01"))),
+    """WITH f AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' AND l_shipdate < DATE '2030-01-01' GROUP BY 1, 2),
+    k AS (SELECT *, rank() OVER (ORDER BY n DESC) AS place FROM f),
+    e AS (SELECT DATE '2029-12-31' - CAST(max(l_shipdate) AS DATE) AS short FROM lineitem)
+    SELECT 1 AS nth, 'empty_result' AS "check", CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS verdict, count(*) AS detail FROM f
+    UNION ALL SELECT 2, 'window', 'partly', short FROM e
+    UNION ALL SELECT 3, 'null_bucket', CASE WHEN count(*) > 0 THEN 'nameless' ELSE 'ok' END, count(*) FROM k WHERE place = 1 AND (l_returnflag IS NULL OR l_returnflag = '' OR l_linestatus IS NULL OR l_linestatus = '')
+    UNION ALL SELECT 4, 'tie_at_limit', CASE WHEN count(*) > 1 THEN 'tied' ELSE 'ok' END, greatest(count(*) - 1, 0) FROM k WHERE place = 1""",
+)
