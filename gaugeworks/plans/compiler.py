@@ -119,7 +119,7 @@ class Plan:
 
     def joined(self) -> DataFrame:
         """Base rows with every member that the request names; populations hold for all joined entities."""
-        df, have = self._entity(self.base), [self.base]
+        df, have, self.keeps = self._entity(self.base), [self.base], True
         for entity in dict.fromkeys(e for e, _ in self._members()):
             for owner, join, forwards in self.model.path(self.base, entity):
                 to = join.role or join.to
@@ -129,11 +129,21 @@ class Plan:
                 have.append(new)
                 on = [_meets(_col(owner, x[0]), x[1] if len(x) == 3 else "=", _col(to, x[-1])) for x in join.on]
                 df = df.join(self._entity(new), on, join.how)
+                self.keeps = self.keeps and join.how == "left" and not self.model.entities[new].population
         for entity in have:
             if self.model.entities[entity].population:
                 df = df.where(F.col(f"{entity}__population"))
         return df
 
+    def _clocked(self, df: DataFrame, windowed: bool) -> DataFrame:
+        """Rows to find a snapshot in: the base table alone, if the joins keep all of its rows, else df."""
+        if not self.keeps:
+            return df
+        rows = self._entity(self.base)
+        if self.model.entities[self.base].population:
+            rows = rows.where(F.col(f"{self.base}__population"))
+        return rows.where(self._in_window(rows, self.clock)) if windowed else rows
+
     def _holds(self, df: DataFrame, f: Filter) -> Column:
         entity, member = self.model.member(f.member, self.base)
         return predicate(_col(entity, member), df.schema[f"{entity}__{member}"].dataType, f.op, f.value, self.model.timezone)
@@ -153,10 +163,10 @@ class Plan:
         levels = [m for m in self.leaves.values() if m.level]
         mixed = len(levels) < len(self.leaves)
         if levels and mixed:
-            snap = df.agg((F.min if levels[0].snapshot == "first" else F.max)(_col(self.base, self.clock)).alias("snapshot at"))
+            snap = self._clocked(df, r.window is not None and not lifted).agg((F.min if levels[0].snapshot == "first" else F.max)(_col(self.base, self.clock)).alias("snapshot at"))
             df = df.crossJoin(F.broadcast(snap))  # one row
         elif levels and self._pinned(levels):
-            df = self._at_snapshot(df, levels[0].snapshot)
+            df = self._at_snapshot(df, levels[0].snapshot, r.window is not None and not lifted)
         for f in r.filters:
             df = df.where(self._holds(df, f))
         for entity, condition in self._definitions():
@@ -231,7 +241,7 @@ class Plan:
             return _arithmetic(text, {f"p{k}": self._value(part) for k, part in enumerate(parts)})
         return F.col(f"`leaf__{entity}.{name.rpartition('.')[2]}`")
 
-    def _at_snapshot(self, df: DataFrame, which: str) -> DataFrame:
+    def _at_snapshot(self, df: DataFrame, which: str, windowed: bool) -> DataFrame:
         """Rows at the last (or first) moment of the clock under window and populations, in each bucket if there is one.
 
         The request's other filters do not move the snapshot.
@@ -240,15 +250,16 @@ class Plan:
         if self.model.entities[self.base].clock_is_day:
             at = at.cast("date")
         pick = (F.min if which == "first" else F.max)(at).alias("at")
+        rows = self._clocked(df, windowed)
         own = [self._bucket(df)] if self.request.grain else []
         for d in self.request.dimensions:
             entity, member = self.model.member(d, self.base)
             if entity == self.base and member in self.model.entities[entity].dates and member != self.clock:
                 own.append(_col(entity, member))
         if not own:
-            return df.join(F.broadcast(df.agg(pick)), at == F.col("at")).drop("at")  # one row
+            return df.join(F.broadcast(rows.agg(pick)), at == F.col("at")).drop("at")  # one row
         names = [f"of {k}" for k in range(len(own))]
-        snaps = df.groupBy(*[c.alias(n) for c, n in zip(own, names)]).agg(pick)
+        snaps = rows.groupBy(*[c.alias(n) for c, n in zip(own, names)]).agg(pick)
         on = at == F.col("at")
         for c, n in zip(own, names):
             on = on & (c == F.col(f"`{n}`"))

@@ -2,7 +2,7 @@ from datetime import datetime, timezone
 
 import pytest
 
-from gaugeworks.model import Entity, Filter, Metric, Model, ModelError, Request
+from gaugeworks.model import Entity, Filter, Join, Metric, Model, ModelError, Request
 from gaugeworks.plans.compiler import answer
 from gaugeworks.plans.cube import cube_of, request_of
 from gaugeworks.plans.readings import clipped, readings, time_kind
@@ -86,3 +86,15 @@ def test_readings_count_the_groups_that_differ(rows):
     for bad, default in ((by | totals, "all"), (totals, "c")):
         with pytest.raises(ModelError):
             readings(model(), rows, bad, default)
+
+
+@pytest.mark.parametrize("how, want", [("left", [("y", 2)]), ("inner", [("x", 1)])])
+def test_joins_that_drop_rows_move_the_snapshot(spark, how, want):
+    made = {
+        "stock": spark.createDataFrame([("a", "2024-01-01", 1), ("b", "2024-01-02", 2)], "k string, d string, n int"),
+        "names": spark.createDataFrame([("a", "x")] + ([("b", "y")] if how == "left" else []), "k string, name string"),
+    }
+    stock = Entity("stock", {"k": "k", "at": "to_date(d)"}, {"held": Metric("sum", "n", level=True)}, (Join("names", (("k", "k"),), "many_to_one", how),), clock="at")
+    given = Model({"stock": stock, "names": Entity("names", {"k": "k", "name": "name"})})
+    frame = answer(given, made.get, Request(metrics=("held",), dimensions=("name",)))
+    assert [tuple(r) for r in frame.collect()] == want
