@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # When a question is routed to a lens.
 FLOOR, CONFIDENT, MARGIN = 0.78, 0.95, 0.07
+# Numbers of the vectors of a tile; a task holds two tiles.
+TILE_VALUES = 8_000_000
 
 
 def difference(a: DataFrame, b: DataFrame, places: int = 6) -> DataFrame:
@@ -115,27 +119,86 @@ def own_anchors(df: DataFrame, lens: str, text: str) -> DataFrame:
 def cross_claims(df: DataFrame, lens: str, key: str, column: str, floor: float = 0.95) -> DataFrame:
     """Per pair of lenses that claim nearly the same: the largest cosine of their anchors, at `floor` or above.
 
-    Anchors meet in cells of a few coordinates only, instead of all pairs: of unit vectors whose cosine is at
-    least `floor`, every coordinate differs by at most sqrt(2 - 2 * floor), so cells of that width and their
-    neighbours hold every pair. Cells are cut along the three coordinates that vary most over all anchors.
+    Equal vectors of a lens count once. All others are dealt into tiles, and each pair of tiles meets in one
+    group, so every pair of anchors is met exactly once, and none is left out for want of a coordinate that tells
+    far ones apart. Work grows with the square of the distinct vectors, where their boxes (`_met`) do not part them.
     """
-    unit = F.expr(f"sqrt(aggregate(`{column}`, 0D, (s, x) -> s + double(x) * double(x)))")
-    rows = df.where(F.col(column).isNotNull()).withColumn("norm", unit).where("norm > 0")
-    rows = rows.select(F.col(lens).alias("lens"), F.col(key).alias("key"), F.expr(f"transform(`{column}`, x -> double(x) / norm)").alias("v"))
-    spread = rows.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.stddev_pop("x").alias("sd"))
-    axes = [r["at"] for r in spread.orderBy(F.desc("sd"), "at").limit(3).collect()]
-    width = max((2 - 2 * floor) ** 0.5, 1e-9)
-    cell = F.struct(*[F.floor(F.get("v", F.lit(a)) / F.lit(width)).alias(f"c{i}") for i, a in enumerate(axes)]) if axes else F.struct(F.lit(0).alias("c0"))
-    left = rows.select("lens", "key", "v", cell.alias("cell"))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = left.select(F.col("lens").alias("lens_b"), F.col("v").alias("v_b"), "cell")
-    for i in range(len(axes)):
-        near = near.withColumn(f"s{i}", F.explode(steps))
-    moved = F.struct(*[(F.col(f"cell.c{i}") + F.col(f"s{i}")).alias(f"c{i}") for i in range(len(axes))]) if axes else F.col("cell")
-    near = near.select("lens_b", "v_b", moved.alias("cell"))
-    met = left.withColumnsRenamed({"lens": "lens_a", "v": "v_a"}).join(near, "cell").where("lens_a < lens_b and size(v_a) = size(v_b)")
-    cos = F.expr("aggregate(zip_with(v_a, v_b, (a, b) -> a * b), 0D, (s, x) -> s + x)")
-    return met.groupBy("lens_a", "lens_b").agg(F.max(cos).alias("cosine")).where(F.col("cosine") >= floor)
+    norm = F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + double(x) * double(x)))")
+    vector = F.col(column) if dict(df.dtypes)[column] == "array<float>" else F.col(column).cast("array<double>")
+    rows = df.select(F.col(lens).alias("lens"), vector.alias("v")).where("lens is not null and v is not null")
+    rows = rows.where(norm > 0).distinct()
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    tiles = max(-(-n * width // TILE_VALUES), min(6, -(-n // 4096)), 1)
+    own = rows.withColumn("tile", F.pmod(F.xxhash64("lens", "v"), F.lit(tiles)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    pair = [F.size("v").alias("size"), F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")]
+    kind = rows.schema["lens"].dataType.simpleString()
+    met = dealt.select("lens", "v", "tile", *pair).groupBy("size", "a", "b").applyInArrow(lambda t: _met(t, floor), f"x {kind}, y {kind}, cosine double")
+    best = met.groupBy(F.least("x", "y").alias("lens_a"), F.greatest("x", "y").alias("lens_b")).agg(F.max("cosine").alias("cosine"))
+    return best.where(F.col("cosine") >= floor)
+
+
+def _met(table: pa.Table, floor: float) -> pa.Table:
+    """Best cosines between different lenses for the rows of two tiles (or inside one), where they reach the floor.
+
+    Rows go in blocks of near ones. Two blocks whose boxes are farther apart than unit vectors at the floor are not
+    compared; others are first in single precision, and in double where that may reach the floor.
+    """
+    coded = table["lens"].combine_chunks().dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(code), -1)
+    tile = table["tile"].to_numpy()
+    unit = (v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))[:, None]).astype(np.float32)
+    slack = max(1e-4, 2e-7 * v.shape[1])
+    sides = [[at[np.argsort(code[at], kind="stable")] for at in _blocks(unit, np.flatnonzero(tile == t))] for t in np.unique(tile)]
+    boxes = [(np.array([unit[at].min(0) for at in s]), np.array([unit[at].max(0) for at in s])) for s in sides]
+    (low, high), found, held, most_held = boxes[-1], [], 0, 1 << 20
+
+    def exact(at):
+        rows = v[at].astype(np.float64)
+        return rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+    for p, left in enumerate(sides[0]):
+        gap = np.maximum(np.maximum(low - boxes[0][1][p], boxes[0][0][p] - high), 0).astype(np.float64)
+        apart = (gap * gap).sum(1) > 2 - 2 * floor + 2 * slack
+        a, firsts = unit[left], np.flatnonzero(np.diff(code[left], prepend=-1))
+        for q in range(p if len(sides) == 1 else 0, len(sides[-1])):
+            if apart[q] or (a @ unit[right := sides[-1][q]].T).max() < floor - slack:
+                continue
+            starts = np.flatnonzero(np.diff(code[right], prepend=-1))
+            most = np.maximum.reduceat(np.maximum.reduceat(exact(left) @ exact(right).T, firsts, axis=0), starts, axis=1)
+            x, y = code[left[firsts]][:, None], code[right[starts]][None, :]
+            i, j = np.nonzero((x != y) & ~(most < floor))
+            x, y = x[i, 0], y[0, j]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), most[i, j]], 1))
+            held += len(x)
+            if held > most_held:
+                found = [_best_per_pair(found)]
+                held, most_held = len(found[0]), max(1 << 20, 2 * len(found[0]))
+    best = _best_per_pair(found)
+    x, y = (names.take(pa.array(best[:, k].astype(np.int64))) for k in (0, 1))
+    return pa.table({"x": x, "y": y, "cosine": pa.array(best[:, 2])})
+
+
+def _best_per_pair(found: list[np.ndarray]) -> np.ndarray:
+    """Of rows (lens, lens, cosine), that with the largest cosine for each pair of lenses."""
+    rows = np.concatenate([np.zeros((0, 3)), *found])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.append(np.any(rows[1:, :2] != rows[:-1, :2], axis=1), True)[: len(rows)]]
+
+
+def _blocks(v: np.ndarray, at: np.ndarray, most: int = 1024) -> list[np.ndarray]:
+    """The rows `at` of v in parts of at most so many, halved along the coordinate that varies most."""
+    out, todo = [], [at]
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        half = len(at) // 2
+        at = at[np.argpartition(v[at, v[at].var(0).argmax()], half)]
+        todo += [at[half:], at[:half]]
+    return out
 
 
 def accuracy_trend(runs: DataFrame, lens: str, clock: str, score: str) -> DataFrame:

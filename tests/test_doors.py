@@ -2,6 +2,7 @@ import json
 from dataclasses import replace
 from datetime import date
 
+import numpy as np
 import pytest
 
 from gaugeworks.model import Entity, Filter, Join, Metric, Model, ModelError, Request
@@ -94,6 +95,29 @@ def test_date_ranges_and_identity():
     assert cube.identity(a, day) == cube.identity(b, day) != cube.identity(b | {"limit": 5}, day)
 
 
+@pytest.mark.parametrize("tile", [8_000_000, 500])
+def test_cross_claims_meet_all_pairs_without_a_join_of_rows(spark, monkeypatch, tile):
+    monkeypatch.setattr(grading, "TILE_VALUES", tile)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16))
+    v[700:1400] = v[:700] + rng.normal(size=(700, 16)) * rng.choice([0.01, 0.2, 0.5], (700, 1))
+    v[1400:] = v[3]  # copies, inside a lens and across lenses
+    names = [f"lens {k}" for k in rng.integers(0, 40, 1500)]
+    rows = [(n, k, x.tolist()) for k, (n, x) in enumerate(zip(names, v))]
+    odd = [(None, -1, v[0].tolist()), ("zero", -2, [0.0] * 16), ("null", -3, None), ("hole", -4, [None, *v[0].tolist()[1:]]), ("short", -5, v[3].tolist()[:8]), ("short too", -6, (3 * v[3]).tolist()[:8])]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {("short", "short too"): 1.0}
+    for a, b in zip(*np.nonzero(unit @ unit.T >= 0.9)):
+        if names[a] < names[b]:
+            want[names[a], names[b]] = max(want.get((names[a], names[b]), 0), unit[a] @ unit[b])
+    for kind in ("double", "float"):
+        out = grading.cross_claims(spark.createDataFrame(rows + odd, f"lens string, k int, v array<{kind}>"), "lens", "k", "v", 0.9)
+        assert "Join" not in out._jdf.queryExecution().toString()
+        got = {(r.lens_a, r.lens_b): r.cosine for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert grading.cross_claims(spark.createDataFrame(odd[:4], "lens string, k int, v array<double>"), "lens", "k", "v").count() == 0
+
+
 def test_a_listing_without_a_limit_has_all_rows(spark):
     rows = spark.range(10_001).selectExpr("id as k")
     model = Model({"t": Entity(table="t", members={"k": "k"})})
