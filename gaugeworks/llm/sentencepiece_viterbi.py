@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of up to 64 characters, and neighbouring pairs of pieces, whose results a worker remembers; it forgets them all beyond.
-REMEMBERED = 120_000
+#: Words of up to 64 characters, neighbouring pairs of pieces and steps of the automaton that a worker remembers. Beyond, it
+#: keeps the words of the latest slice only, forgets all pairs, and takes no further steps.
+REMEMBERED, FOLLOWED, STEPS = 160_000, 300_000, 120_000
 
 
 _ONE = (1,)
@@ -70,9 +71,47 @@ class Pieces:
             ends.setdefault(text[-2:], {1}).add(len(text))
         #: Sizes of the pieces that end in two characters, the largest first.
         self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+        self.root = self._automaton()
+        self.room = STEPS
         self.follows: dict[int | tuple, bool] = {}
         self.words: dict[str, bytes] = {}
 
+    def _automaton(self) -> dict:
+        """Root of an Aho-Corasick automaton of the pieces: what has been read, as far as a piece may begin with it.
+
+        A state leads by character to the next one; at 0 it has (size, id) of all pieces of two or more characters
+        that end here, the largest first, at 1 the state of its longest proper suffix.
+        """
+        root: dict = {0: (), 1: None}
+        ends: dict[int, tuple[int, int]] = {}
+        for text, k in self.ids.items():
+            at = root
+            for c in text:
+                at = at.setdefault(c, {})
+            if len(text) > 1:
+                ends[id(at)] = (len(text), k)
+        todo = [(root, c, at) for c, at in root.items() if isinstance(c, str)]
+        for before, c, at in todo:  # shorter prefixes come first
+            suffix = before[1]
+            while suffix is not None and c not in suffix:
+                suffix = suffix[1]
+            at[1] = root if suffix is None else suffix[c]
+            own = ends.get(id(at))
+            at[0] = (own, *at[1][0]) if own else at[1][0]
+            todo += [(at, d, below) for d, below in at.items() if isinstance(d, str)]
+        return root
+
+    def _step(self, at: dict, c: str) -> dict:
+        """The next state where no piece goes on with c; remembered while there is room."""
+        suffix = at
+        while suffix is not None and c not in suffix:
+            suffix = suffix[1]
+        to = self.root if suffix is None else suffix[c]
+        if self.room:
+            self.room -= 1
+            at[c] = to
+        return to
+
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: always the pair with the best score, the leftmost of equals."""
         parts = list(text)
@@ -93,8 +132,8 @@ class Pieces:
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Ids (as int32 bytes) of sorted distinct words, walking their trie depth first."""
         out, before = [], ""
-        # By prefix length: the id and size of the piece that ends there (-1: a character without one), the score so far.
-        last, size, total = [self.start], [0], [0.0]
+        # By prefix length: the id and size of the piece that ends there (-1: a character without one), the score so far, the automaton's state.
+        last, size, total, state = [self.start], [0], [0.0], [self.root]
         advance = self._merged_states if self.merges else self._best_states
         for word in words:
             shared = 0
@@ -102,8 +141,8 @@ class Pieces:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
-            advance(word, shared + 1, last, size, total)
+            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :], state[shared + 1 :]
+            advance(word, shared + 1, last, size, total, state)
             path, i = [], len(word)
             while i:
                 path.append(last[i])
@@ -115,34 +154,33 @@ class Pieces:
             before = word
         return out
 
-    def _merged_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float]) -> None:
+    def _merged_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float], state: list[dict]) -> None:
         """Forward states of the prefixes from `start` on, in a merge model: the one piece that may end there.
 
         One character is what remains when no longer piece may follow what is before it.
         """
-        sizes, ids, follows = self.sizes, self.ids, self.follows
-        for i in range(start, len(word) + 1):
-            for n in sizes.get(word[i - 2 : i] if i > 1 else word[:1], _ONE):
-                j = i - n
-                if n > 1:
-                    if j < 0 or (k := ids.get(word[j:i])) is None:
-                        continue
-                    left = last[j]
-                    pair = left << 20 | k if left >= 0 else (word[j - 1], k)
-                    good = follows.get(pair)
-                    if good is None:
-                        if len(follows) > REMEMBERED:
-                            follows.clear()
-                        good = follows[pair] = self.may_follow(word[j - size[j] : j], word[j:i])
-                    if not good:
-                        continue
-                else:
-                    k = ids.get(word[j], -1)
-                last.append(k)
-                size.append(n)
-                break
+        follows, at = self.follows, state[start - 1]
+        for i, c in enumerate(word[start - 1 :], start):
+            at = at.get(c) or self._step(at, c)
+            state.append(at)
+            for n, k in at[0]:
+                left = last[i - n]
+                pair = left << 20 | k if left >= 0 else (word[i - n - 1], k)
+                good = follows.get(pair)
+                if good is None:
+                    j = i - n
+                    if len(follows) > FOLLOWED:
+                        follows.clear()
+                    good = follows[pair] = self.may_follow(word[j - size[j] : j], word[j:i])
+                if good:
+                    last.append(k)
+                    size.append(n)
+                    break
+            else:
+                last.append(self.ids.get(c, -1))
+                size.append(1)
 
-    def _best_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float]) -> None:
+    def _best_states(self, word: str, start: int, last: list[int], size: list[int], total: list[float], state: list[dict]) -> None:
         """Forward states of the prefixes from `start` on, in a unigram model: the best sum of scores."""
         for i in range(start, len(word) + 1):
             arcs = []
@@ -158,12 +196,15 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; those that are not remembered are encoded together, sorted."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = sorted(w for w in words if w not in self.words)
+        known = self.words
+        new = sorted(w for w in words if w not in known)
         fresh = dict(zip(new, self.encode_sorted(new)))
-        out = [fresh[w] if w in fresh else self.words[w] for w in words]
-        self.words.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+        out = [known[w] if w in known else fresh[w] for w in words]
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            known.update((w, x) for w, x in zip(words, out) if len(w) <= 64)
+        else:
+            known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
         return out
 
 

@@ -265,6 +265,27 @@ def test_ids_are_those_of_the_library_and_decode_back(spark, docs):
     assert other.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens"] and other.where("text is null and n_tokens <> 0").count() == 0
 
 
+def test_pieces_that_end_at_a_character_and_remembered_words(monkeypatch):
+    vocab = sentencepiece_viterbi.Pieces(sentencepiece_viterbi.MODEL)
+    r = random.Random(4)
+    words = [" " + "".join(r.choice(["a", "th", "ing", "er", "\n", "é", "中", "12", "...", "ß", "tion"]) for _ in range(r.randrange(9))) for _ in range(300)]
+    for steps in (0, 10**6):  # without room for further steps, and with it
+        vocab.room = steps
+        for word in words:
+            at = vocab.root
+            for i, c in enumerate(word, 1):
+                at = at.get(c) or vocab._step(at, c)
+                assert at[0] == tuple((n, vocab.ids[word[i - n : i]]) for n in range(i, 1, -1) if word[i - n : i] in vocab.ids)
+    monkeypatch.setattr(sentencepiece_viterbi, "REMEMBERED", 50)
+    asked, encode, words = [], vocab.encode_sorted, sorted({*words, " " + "long" * 20})
+    monkeypatch.setattr(vocab, "encode_sorted", lambda new: asked.append(new) or encode(new))
+    first = vocab.encode_words(words)
+    # More than fit: the latest words are known all the same, but for the long one, and others are forgotten.
+    assert vocab.encode_words(words) == first and asked[1] == [" " + "long" * 20]
+    vocab.encode_words([" other", " words"])
+    assert vocab.words.keys() == {" other", " words"}
+
+
 def test_unigram_paths_have_the_best_score():
     vocab = sentencepiece_viterbi.Pieces(sentencepiece_viterbi.MODEL, merges=False)
 
