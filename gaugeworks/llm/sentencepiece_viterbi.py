@@ -8,7 +8,8 @@ the forward states of the prefix that a word shares with the one before it are k
 Forward state: for every prefix the best score and the piece that ends there. In a unigram model every
 piece may follow every other. In a merge (BPE) model a piece may follow another only if merging both
 together yields just these two, and a prefix has exactly one such path: that of the merges. Characters
-outside the vocabulary become byte pieces.
+outside the vocabulary become byte pieces. In a merge model an automaton of the pieces (Aho-Corasick) gives
+those that end at a character; its state is kept by prefix, too.
 
 Decoding joins the pieces' bytes and takes the extra blank away; it gives back every text exactly. (The
 mark U+2581 itself, if it occurs in a text, is encoded as bytes; otherwise it would decode as a blank.)
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of up to 64 characters, neighbouring pairs of pieces and steps of the automaton that a worker remembers. Beyond, it
 #: keeps the words of the latest slice only, forgets all pairs, and takes no further steps.
-REMEMBERED, FOLLOWED, STEPS = 160_000, 300_000, 120_000
+REMEMBERED, FOLLOWED, STEPS = 80_000, 170_000, 60_000
 
 
 _ONE = (1,)
