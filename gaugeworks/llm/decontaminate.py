@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.textkernel import PUNCTUATION, column_bytes, mix64, span_hashes, words
+from gaugeworks.llm.textkernel import PUNCTUATION, column_bytes, mix64, slices, span_hashes, words
 from gaugeworks.llm.workspace import Workspace, row_key
 
 WIDTH, RARE, THRESHOLD = 4, 8, 0.5
@@ -75,8 +75,8 @@ def _stretches(wanted: np.ndarray, widths: list[int], reach: int):
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo, n in slices(batch.column(3), 1024):
+                part = batch.slice(lo, n)
                 h, first = word_hashes(part.column(3))
                 rows, at, size, hits = [], [], [], []
                 found = []

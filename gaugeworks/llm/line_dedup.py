@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.textkernel import column_bytes, span_hashes
+from gaugeworks.llm.textkernel import column_bytes, slices, span_hashes
 from gaugeworks.llm.workspace import Workspace, row_key
 
 MIN_LINES, MIN_BYTES, MIN_ALONE = 2, 40, 200
@@ -78,8 +78,8 @@ def _runs(data: np.ndarray, off: np.ndarray):
 def _hashes(batches):
     """One hash a row of the shortest runs of (k1, k2, text)."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            h = chunk_lines(batch.column(2).slice(lo, 1024))[-1]
+        for lo, n in slices(batch.column(2), 1024):
+            h = chunk_lines(batch.column(2).slice(lo, n))[-1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
 
@@ -88,8 +88,8 @@ def _run_rows(bits: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo, rows in slices(batch.column(2), 1024):
+                part = batch.slice(lo, rows)
                 data, off = column_bytes(part.column(2))
                 begin, row, first, n, size, h = _runs(data, off)
                 passing = np.flatnonzero(_passes(bits, h))

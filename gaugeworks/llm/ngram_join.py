@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.textkernel import mix64, shingle_sets
+from gaugeworks.llm.textkernel import mix64, shingle_sets, slices
 from gaugeworks.llm.workspace import Workspace, components
 
 #: Prefix shingles in at most so many sets are indexed one by one, others in pairs.
@@ -94,8 +94,8 @@ def _sets(width: int, threshold: int):
 
         node, seen = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, rows in slices(batch.column(2), 512):
+                part = batch.slice(lo, rows)
                 h, off = shingle_sets(part.column(2), width)
                 n = np.diff(off)
                 spans = [h[a:b] for a, b in zip(off[:-1], off[1:])]
@@ -281,8 +281,8 @@ def _whole_sets(width: int):
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, rows in slices(batch.column(3), 256):
+                part = batch.slice(lo, rows)
                 h, off = shingle_sets(part.column(3), width)
                 spans = [h[a:b].tobytes() for a, b in zip(off[:-1], off[1:])]
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in spans), np.int64).reshape(-1, 2)

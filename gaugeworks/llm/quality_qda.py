@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.textkernel import column_bytes, mix64, span_hashes, words
-from gaugeworks.llm.workspace import Workspace
+from gaugeworks.llm.textkernel import column_bytes, mix64, slices, span_hashes, words
+from gaugeworks.llm.workspace import Workspace, bounded_batches
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "upper", "digit", "sentence_mark", "exclaim", "symbol",
@@ -121,8 +121,8 @@ def statistics(col: pa.Array) -> np.ndarray:
 
 def _statistics_rows(batches):
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for lo, n in slices(batch.column(1), 512):
+            part = batch.slice(lo, n)
             x = statistics(part.column(1))
             off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -154,28 +154,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
-def _moments(batches):
-    """Per batch and class: count, sums and sums of products, as (label, i, j, v) rows."""
-    for batch in batches:
-        x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-        y = batch.column(0).to_numpy()
-        x = np.hstack([np.ones((len(x), 1)), x])
-        i, j = np.triu_indices(x.shape[1])
-        for k in np.unique(y):
-            m = x[y == k].T @ x[y == k]
+def _of_text(batch):
+    for lo, n in slices(batch.column(2), 512):
+        yield lo, statistics(batch.column(2).slice(lo, n))
+
+
+def _of_statistics(batch):
+    yield 0, batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _moments(read):
+    """Per task and class: count, sums and sums of products of (labels 0, labels 1, what is read), as (label, i, j, v) rows."""
+
+    def run(batches):
+        i, j = np.triu_indices(len(STATISTICS) + 1)
+        m = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
+        for batch in batches:
+            times = np.stack([batch.column(k).to_numpy() for k in (0, 1)]).astype(float)
+            for lo, x in read(batch):
+                x = np.hstack([np.ones((len(x), 1)), x])
+                for k in (0, 1):
+                    m[k] += (x * times[k, lo : lo + len(x), None]).T @ x
+        for k in np.flatnonzero(m[:, 0, 0]):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])],
+                [pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[k][i, j])],
                 names=["label", "i", "j", "v"],
             )
 
+    return run
 
-def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.01) -> Model:
-    """Model from statistics (doc_id, x) and labels (doc_id, label 0 or 1).
+
+def class_sums(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, i, j, v): what `fit` adds up, of rows (doc_id, and x or else text) with labels (doc_id, label 0 or 1).
+
+    Texts become sums in one pass through Python: a task never holds two Python workers.
+    """
+    times = labels.where("label in (0, 1)").groupBy("doc_id").agg(F.expr("count_if(label = 0)").alias("n0"), F.expr("count_if(label = 1)").alias("n1"))
+    of, read = ("x", _of_statistics) if "x" in rows.columns else ("text", _of_text)
+    return times.join(rows, "doc_id").select("n0", "n1", of).mapInArrow(_moments(read), "label int, i int, j int, v double")
+
+
+def fit(rows: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.01) -> Model:
+    """Model from rows (doc_id, and x, their statistics, or else text) and labels (doc_id, label 0 or 1).
 
     The driver receives one number per class and pair of statistics, whatever the number of rows.
     """
-    rows = labels.where("label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
-    sums = rows.join(stats, "doc_id").select("label", "x").mapInArrow(_moments, "label int, i int, j int, v double")
+    sums = class_sums(rows, labels)
     got = sums.groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
     size = len(STATISTICS) + 1
     m = np.zeros((2, size, size))
@@ -216,24 +240,20 @@ def learnt(spark: SparkSession, docs: DataFrame, labels: DataFrame, stats: DataF
     """Model of the labels (doc_id, quality) of documents that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(~held_out())
     if stats is None:
-        few = marked.where("label in (0, 1)").select("doc_id").distinct()
-        stats = document_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id"))
+        stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return fit(stats, marked)
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs that score `least` or more, all their columns as they are; documents do not travel."""
+    """docs that score `least` or more, all their columns as they are; only the text goes to Python, and a truth value back."""
+    bounded_batches(spark)
     model = learnt(spark, docs, labels)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                keep = model.score(statistics(part.column(1))) >= least
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep))], names=["row"])
+    def run(col: pa.Array) -> pa.Array:
+        keep = [model.score(statistics(col.slice(lo, n))) >= least for lo, n in slices(col, 512)]
+        return pa.array(np.concatenate([np.zeros(0, bool), *keep]))
 
-    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+    return docs.where(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

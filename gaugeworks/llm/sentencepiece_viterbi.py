@@ -31,6 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.textkernel import slices
+from gaugeworks.llm.workspace import bounded_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of up to 64 characters, neighbouring pairs of pieces and steps of the automaton that a worker remembers. Beyond, it
 #: keeps the words of the latest slice only, forgets all pairs, and takes no further steps.
@@ -265,12 +268,13 @@ def encoded(docs: DataFrame, path: str = MODEL, merges: bool = True) -> DataFram
 
     def run(col: pa.Array) -> pa.Array:
         vocab, parts = pieces(path, merges), [pa.array([], pa.list_(pa.int32()))]
-        for lo, n in _bounded(col):
+        for lo, n in slices(col, len(col), 2 << 20):
             ids, off = encode_column(col.slice(lo, n), vocab)
             parts.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)))
         pa.default_memory_pool().release_unused()
         return pa.concat_arrays(parts)
 
+    bounded_batches(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
     ids = F.arrow_udf(run, "array<int>")(F.col("text").cast("string"))
     return docs.select(*kept, ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
@@ -299,16 +303,3 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
     kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() != "decoded"]
     return rows.select(*kept, F.arrow_udf(run, "string")(F.expr("filter(ids, k -> k >= 0)")).alias("decoded"))
-
-
-def _bounded(col: pa.Array, most: int = 2 << 20):
-    """(start, rows) of slices whose texts have at most `most` bytes, or one row."""
-    size = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
-    lo, held = 0, 0
-    for k, s in enumerate(size):
-        if k > lo and held + s > most:
-            yield lo, k - lo
-            lo, held = k, 0
-        held += s
-    if lo < len(size):
-        yield lo, len(size) - lo

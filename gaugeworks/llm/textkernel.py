@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +54,22 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def slices(col: pa.Array, rows: int, most: int = 1 << 19):
+    """(start, rows) of slices of up to `rows` rows whose texts have at most `most` bytes, or one row.
+
+    What is made of a slice takes many times its bytes, so the rows alone do not bound a task's memory.
+    """
+    size = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
+    lo, held = 0, 0
+    for k, s in enumerate(size):
+        if k > lo and (held + s > most or k - lo >= rows):
+            yield lo, k - lo
+            lo, held = k, 0
+        held += s
+    if lo < len(size):
+        yield lo, len(size) - lo
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span [start, end); equal bytes give equal hashes.
 

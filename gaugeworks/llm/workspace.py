@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a broadcast sieve, at most.
 SIEVE = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH bytes, or one row, in this session, unless it has a bound of its own.
+
+    Spark's default of 64 MB is held several times over by each task, outside the heap and in its Python worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 class Workspace:
     """Written tables of one operator run, in a folder of their own under spark.checkpoint.dir.
 
@@ -36,6 +47,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

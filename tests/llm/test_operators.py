@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeworks.llm import decontaminate, html_wrapper, line_dedup, multiset_hash, ngram_join, quality_qda, queries, sentencepiece_viterbi, shards, warc
+from gaugeworks.llm import decontaminate, html_wrapper, line_dedup, multiset_hash, ngram_join, quality_qda, queries, sentencepiece_viterbi, shards, textkernel, warc
 from gaugeworks.llm.chat import escape, unescape
 from gaugeworks.llm.workspace import table
 from tests.oracle import assert_same
@@ -322,6 +323,64 @@ def test_quality_with_nulls_and_without_labels(spark, docs):
     assert quality_qda.accepted(spark, docs, none).columns == docs.columns
 
 
+def peak_mb(make) -> float:
+    """MB that are held at most while the rows of `make` are read."""
+    tracemalloc.start()
+    for _ in make:
+        pass
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_memory_of_a_task_follows_bytes_not_rows():
+    # 200 texts of 5,000 words in one Arrow batch.
+    text = pa.array([prose(k, 400) + f" {k} " + " ".join(WORDS * 200) + "\n" for k in range(200)])
+    ids = pa.array(range(len(text)))
+    one = pa.RecordBatch.from_arrays([ids, ids, text], names=["k1", "k2", "text"])
+    assert peak_mb(quality_qda._statistics_rows([one.select(["k1", "text"])])) < 40
+    assert peak_mb(line_dedup._hashes([one])) < 3
+    assert peak_mb(decontaminate._stretches(np.array([3], np.uint64), [4], 10)([pa.RecordBatch.from_arrays([ids, ids, ids, text], names=list("abcd"))])) < 20
+    at = list(textkernel.slices(text, 50))
+    assert [a for a, _ in at] == [0, *np.cumsum([n for _, n in at])[:-1]] and sum(n for _, n in at) == 200
+    assert max(len("".join(text.slice(a, n).to_pylist())) for a, n in at) <= 1 << 19
+    assert list(textkernel.slices(pa.array([None, "x" * 9, "", "y"]), 2, 4)) == [(0, 1), (1, 1), (2, 2)]
+    assert list(textkernel.slices(pa.array(["a"] * 5), 2)) == [(0, 2), (2, 2), (4, 1)]
+
+
+def test_batches_between_spark_and_python_are_bounded(spark):
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    assert quality_qda.accepted(spark, rows, none).mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 5 << 20
+    spark.conf.set(key, "2m")
+    quality_qda.accepted(spark, rows, none)
+    assert spark.conf.get(key) == "2m"
+    spark.conf.unset(key)
+
+
+def test_quality_sums_texts_in_one_pass_and_counts_repeated_labels(spark, docs, capsys):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (2, 1), (7, None), (7, 5), (None, 1), (12, 1), (99, 0)], "doc_id long, label int")
+    sums = quality_qda.class_sums(docs.select("doc_id", "text"), labels)
+    sums.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    stats = quality_qda.document_statistics(docs)
+    by_label = stats.join(labels, "doc_id").select("label", "x").collect()
+    for got in (sums, quality_qda.class_sums(stats, labels)):
+        m = {(r.label, r.i, r.j): r.v for r in got.groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()}
+        assert len(m) == 2 * 190
+        for k in (0, 1):
+            x = np.array([[1, *r.x] for r in by_label if r.label == k])
+            assert m[k, 0, 0] == len(x) == (4 if k == 0 else 5)
+            assert all(m[k, i, j] == pytest.approx(x[:, i] @ x[:, j]) for i in range(19) for j in range(i, 19))
+
+
 def test_archives_split_anywhere_give_every_record_back(spark, tmp_path):
     pages = [(k, f"http://h/{k} ä", None if k == 3 else prose(k % 40, 3 * k)) for k in range(120)] + [(None, None, "null id"), (7, "again", prose(7, 21))]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
